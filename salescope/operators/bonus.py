@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from salescope.functions.dates import month_of
 from salescope.functions.numeric import money_ratio
 from salescope.functions.text import brand_key
-from salescope.operators.filters import SalesFilter, in_months
-from salescope.operators.lines import order_lines
+from salescope.operators.filters import SalesFilter, dimension_filter, in_months
+from salescope.operators.lines import order_headers, order_lines, sold_lines
 from salescope.sources.mart import SalesMart
 
 
@@ -19,18 +19,25 @@ def bonus_lines(
     flt: SalesFilter | None = None,
     months: tuple[date, date] | None = None,
     any_bonus_text: bool = False,
+    empty_orders: bool = True,
 ) -> DataFrame:
     """Lines of bonus orders. The period and the order system play no role here.
 
-    ``months`` only narrows the scan for a caller that needs no other month.
-    ``any_bonus_text`` accepts every description that contains BONIFICA.
+    ``months`` narrows the scan for a caller that needs no other month, and
+    without ``empty_orders`` the orders without lines, whose value is NULL, are
+    left out. ``any_bonus_text`` accepts every description containing BONIFICA.
     """
     cfop = F.upper("desc_abrev_cfop")
     is_bonus = cfop.like("%BONIFICA%") if any_bonus_text else cfop == "BONIFICADO"
     orders = mart.pedidos.filter(
         is_bonus & (F.col("operacoes_internas") == "N") & in_months("dt_faturamento", months)
     )
-    return order_lines(orders, mart.item_pedidos, mart.empresa_pedido, flt)
+    if empty_orders:
+        return order_lines(orders, mart.item_pedidos, mart.empresa_pedido, flt)
+    headers, items = order_headers(orders, mart.empresa_pedido), mart.item_pedidos
+    if flt is not None:
+        headers, items = dimension_filter(headers, flt), dimension_filter(items, flt)
+    return sold_lines(headers, items)
 
 
 def bonus_value(

@@ -15,6 +15,7 @@ from salescope.functions.dates import month_of
 from salescope.functions.numeric import FACTOR, MONEY, money_ratio
 from salescope.functions.text import brand_key, category_prefix
 from salescope.operators.filters import in_months
+from salescope.operators.joins import splittable_join
 
 Months = tuple[date, date] | None
 
@@ -45,8 +46,8 @@ def cmv_retail(
     rows = (
         cmv.filter(in_months("dt_faturamento", months))
         .withColumn("mes_ref", month_of(F.col("dt_faturamento")))
-        .join(by_company.agg(F.count(F.lit(1)).alias("n")), on, "left")
     )
+    rows = splittable_join(rows, by_company.agg(F.count(F.lit(1)).alias("n")), on, "left")
     keys = ["cod_pedido", "cod_produto"]
     if brands is not None:
         names = brands.select("cod_marca", F.upper("desc_abrev").alias("marca"))
@@ -85,8 +86,9 @@ def cmv_salon(
             brand_key(category).alias("own_name"),
             _texts(brand_key(category), category_prefix(category)),
         )
-        .join(dim, ["mes_ref", "match"])
-        .filter((F.col("match.kind") == "name") | (F.col("own_name") != F.col("name")))
+    )
+    rows = splittable_join(rows, dim, ["mes_ref", "kind", "text"]).filter(
+        (F.col("kind") == "name") | (F.col("own_name") != F.col("name"))
     )
     keys = ["cod_pedido", "cod_produto"] + (["marca"] if by_brand else []) + ["mes_ref"]
     return _weighted(rows, keys, "quant", "custo")
@@ -96,7 +98,7 @@ def _texts(name: Column, prefix: Column) -> Column:
     def entry(kind: str, text: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
 
-    return F.explode(F.array(entry("name", name), entry("prefix", prefix))).alias("match")
+    return F.inline(F.array(entry("name", name), entry("prefix", prefix)))
 
 
 def cmv_unit_cost(
@@ -127,4 +129,4 @@ def with_unit_cost(lines: DataFrame, costs: DataFrame) -> DataFrame:
     """Lines LEFT costs on order, product code and, where the costs have one, month."""
     keyed = costs.withColumnRenamed("cod_produto", "sku")
     on = [c for c in ("cod_pedido", "sku", "mes_ref") if c in keyed.columns]
-    return lines.join(keyed, on, "left")
+    return splittable_join(lines, keyed, on, "left")

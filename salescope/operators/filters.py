@@ -79,11 +79,11 @@ _DIMENSIONS = {
 }
 
 
-def dimension_filter(df: DataFrame, flt: SalesFilter, skip: tuple[str, ...] = ()) -> DataFrame:
+def dimension_filter(df: DataFrame, flt: SalesFilter) -> DataFrame:
     """Apply the filters that are set and whose column ``df`` has."""
     for field, column in _DIMENSIONS.items():
         wanted = getattr(flt, field)
-        if wanted and field not in skip and column in df.columns:
+        if wanted and column in df.columns:
             df = df.filter(F.col(column).isin(*wanted))
     if flt.seller_code and "cod_colaborador_atual" in df.columns:
         df = df.filter(F.col("cod_colaborador_atual") == flt.seller_code)

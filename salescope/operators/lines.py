@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from salescope.operators.filters import SalesFilter, dimension_filter
+from salescope.operators.joins import splittable_join
+from salescope.sources.mart import SalesMart
 
 
 def order_headers(orders: DataFrame, company: DataFrame) -> DataFrame:
@@ -12,37 +14,56 @@ def order_headers(orders: DataFrame, company: DataFrame) -> DataFrame:
     return orders.join(company, "cod_pedido", "left")
 
 
-def sold_lines(headers: DataFrame, items: DataFrame) -> DataFrame:
-    """Item lines of the given orders.
+def filtered_headers(
+    mart: SalesMart, orders: DataFrame, flt: SalesFilter, company_columns: bool
+) -> DataFrame:
+    """Order headers under the filters.
 
-    An inner join, so adaptive execution may split a hot order on either side.
+    Without use for a company column the join could only repeat orders, so it is
+    left out where the mart vouches for one company row per order.
     """
-    return headers.join(items, "cod_pedido")
+    needed = company_columns or flt.ufs or flt.seller_code or flt.seller_names
+    if needed or not mart.one_company_per_order:
+        orders = order_headers(orders, mart.empresa_pedido)
+    return dimension_filter(orders, flt)
+
+
+def sold_lines(headers: DataFrame, items: DataFrame) -> DataFrame:
+    """Item lines of the given orders."""
+    return splittable_join(headers, items, ["cod_pedido"])
 
 
 def orders_without_items(headers: DataFrame, items: DataFrame) -> DataFrame:
-    """Orders that have no item line; keys are deduplicated before the shuffle."""
-    return headers.join(items.select("cod_pedido").distinct(), "cod_pedido", "left_anti")
+    """Orders that have no item line; item keys are deduplicated before the shuffle."""
+    keys = items.select("cod_pedido").distinct()
+    return splittable_join(headers, keys, ["cod_pedido"], "left_anti")
 
 
-def order_lines(
-    orders: DataFrame, items: DataFrame, company: DataFrame, flt: SalesFilter | None = None
-) -> DataFrame:
-    """Orders LEFT items LEFT company: one row per line, one for an order without lines.
+def orders_with_items(headers: DataFrame, items: DataFrame) -> DataFrame:
+    keys = items.select("cod_pedido").distinct()
+    return splittable_join(headers, keys, ["cod_pedido"], "left_semi")
+
+
+def lines_of(headers: DataFrame, items: DataFrame) -> DataFrame:
+    """Headers LEFT items: one row per line, one for an order without lines.
 
     Spark can split a hot key only on the preserved side of an outer join, and
     here the large side is the other one. The outer join is therefore written
     as inner join plus the orders that match nothing.
     """
-    headers = order_headers(orders, company)
-    if flt is not None:
-        headers = dimension_filter(headers, flt)
-        items = dimension_filter(items, flt)
-    lines = sold_lines(headers, items)
-    if flt is not None and flt.brands:
-        return lines
-    return lines.unionByName(orders_without_items(headers, items), allowMissingColumns=True)
+    empty = orders_without_items(headers, items)
+    return sold_lines(headers, items).unionByName(empty, allowMissingColumns=True)
 
 
-def orders_with_items(headers: DataFrame, items: DataFrame) -> DataFrame:
-    return headers.join(items.select("cod_pedido").distinct(), "cod_pedido", "left_semi")
+def order_lines(
+    orders: DataFrame, items: DataFrame, company: DataFrame, flt: SalesFilter | None = None
+) -> DataFrame:
+    """Orders LEFT items LEFT company, with the filters that are set.
+
+    A brand filter leaves no order without lines.
+    """
+    headers = order_headers(orders, company)
+    if flt is None:
+        return lines_of(headers, items)
+    headers, items = dimension_filter(headers, flt), dimension_filter(items, flt)
+    return sold_lines(headers, items) if flt.brands else lines_of(headers, items)

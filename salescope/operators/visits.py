@@ -20,8 +20,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from salescope.functions.dates import first_day, month_of, month_starts, shift_months
-from salescope.operators.filters import SalesFilter, dimension_filter, valid_sale
-from salescope.operators.lines import order_headers
+from salescope.operators.filters import SalesFilter, valid_sale
+from salescope.operators.lines import filtered_headers
 from salescope.sources.mart import SalesMart
 
 # Status names, in the order of the shares table.
@@ -66,10 +66,10 @@ def client_purchase_dates(mart: SalesMart, flt: SalesFilter) -> DataFrame:
     A seller code takes precedence over seller names. Duplicates vanish before
     the shuffle, so a client has at most one row per calendar day afterwards.
     """
-    skip = ("seller_names",) if flt.seller_code else ()
-    headers = order_headers(mart.pedidos.filter(valid_sale()), mart.empresa_pedido)
+    flt = flt.but(seller_names=()) if flt.seller_code else flt
+    headers = filtered_headers(mart, mart.pedidos.filter(valid_sale()), flt, company_columns=False)
     return (
-        dimension_filter(headers, flt, skip)
+        headers
         .select(F.col("cpfcnpj").alias("cod_cliente"), "dt_faturamento")
         .filter(F.col("cod_cliente").isNotNull() & F.col("dt_faturamento").isNotNull())
         .distinct()

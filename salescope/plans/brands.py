@@ -10,13 +10,14 @@ from salescope.functions.dates import month_of
 from salescope.functions.numeric import as_double, double_ratio, markup_pct, money_ratio
 from salescope.operators.cost import cmv_legacy, cmv_unit_cost, with_unit_cost
 from salescope.operators.filters import SalesFilter, sales_filter
-from salescope.operators.lines import order_lines
+from salescope.operators.lines import filtered_headers, lines_of
 from salescope.sources.mart import SalesMart
 
 
 def _lines(mart: SalesMart, flt: SalesFilter, check_origin: bool) -> DataFrame:
     orders = sales_filter(mart.pedidos, flt.start, flt.end, check_origin)
-    lines = order_lines(orders, mart.item_pedidos, mart.empresa_pedido, flt.but(brands=()))
+    headers = filtered_headers(mart, orders, flt, company_columns=False)
+    lines = lines_of(headers, mart.item_pedidos)
     return lines.withColumn("mes_ref", month_of(F.col("dt_faturamento")))
 
 

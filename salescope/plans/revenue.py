@@ -11,7 +11,7 @@ from salescope.functions.numeric import as_double, double_ratio, markup_pct, mon
 from salescope.operators.bonus import bonus_lines, bonus_value
 from salescope.operators.cost import cmv_unit_cost, with_unit_cost
 from salescope.operators.filters import SalesFilter, dimension_filter, sales_filter
-from salescope.operators.lines import order_headers, orders_with_items, sold_lines
+from salescope.operators.lines import filtered_headers, orders_with_items, sold_lines
 from salescope.sources.mart import SalesMart
 
 MEASURES = [
@@ -50,19 +50,22 @@ def _monthly(mart: SalesMart, flt: SalesFilter, legacy: bool = False) -> DataFra
     keys = ["mes_ref"] + (["vendedor", "cod_colaborador"] if by_seller else [])
 
     orders = sales_filter(mart.pedidos, flt.start, flt.end, check_origin=not legacy)
-    headers = dimension_filter(order_headers(orders, mart.empresa_pedido), flt).select(
+    seller = [
+        F.col("nome_colaborador_atual").alias("vendedor"),
+        F.col("cod_colaborador_atual").alias("cod_colaborador"),
+    ]
+    headers = filtered_headers(mart, orders, flt, company_columns=by_seller).select(
         "cod_pedido",
         "cpfcnpj",
         month_of(F.col("dt_faturamento")).alias("mes_ref"),
-        F.col("nome_colaborador_atual").alias("vendedor"),
-        F.col("cod_colaborador_atual").alias("cod_colaborador"),
+        *(seller if by_seller else []),
     )
     items = dimension_filter(mart.item_pedidos, flt)
     costs = cmv_unit_cost(
         mart.varejo_cmv, mart.pedidos_salao, mart.bonificacao, months=flt.months
     )
     bonus = bonus_value(
-        bonus_lines(mart, flt, months=flt.months, any_bonus_text=legacy),
+        bonus_lines(mart, flt, flt.months, any_bonus_text=legacy, empty_orders=False),
         mart.bonificacao,
         mart.varejo_marca,
         by_seller,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,11 +10,19 @@ from salescope.sources.schemas import SCHEMAS
 
 
 class SchemaError(ValueError):
-    """A mart table lacks a declared column."""
+    """A mart table, or one of its declared columns, is missing."""
 
 
-@dataclass(frozen=True)
 class SalesMart:
+    """The nine tables by name, as attributes.
+
+    A table is opened, checked and cast when it is first used, so a query pays
+    only for the tables it reads. ``check()`` opens all of them at once.
+
+    ``one_company_per_order`` vouches that ``empresa_pedido`` has at most one row
+    per order. Queries that read none of its columns then skip that join.
+    """
+
     pedidos: DataFrame
     item_pedidos: DataFrame
     empresa_pedido: DataFrame
@@ -25,13 +33,33 @@ class SalesMart:
     perfil_cliente: DataFrame
     cliente_vendedor: DataFrame
 
-    @classmethod
-    def of(cls, **tables: DataFrame) -> SalesMart:
-        """Check and cast every table against its declared schema."""
-        absent = [f.name for f in fields(cls) if f.name not in tables]
+    def __init__(
+        self,
+        sources: Mapping[str, Callable[[], DataFrame]],
+        one_company_per_order: bool = False,
+    ):
+        absent = [name for name in SCHEMAS if name not in sources]
         if absent:
             raise SchemaError(f"mart tables missing: {', '.join(absent)}")
-        return cls(**{n: conform(df, n) for n, df in tables.items()})
+        self._sources = dict(sources)
+        self.one_company_per_order = one_company_per_order
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        table = conform(self._sources[name](), name)
+        setattr(self, name, table)
+        return table
+
+    def check(self) -> SalesMart:
+        for name in SCHEMAS:
+            getattr(self, name)
+        return self
+
+    @classmethod
+    def of(cls, one_company_per_order: bool = False, **tables: DataFrame) -> SalesMart:
+        sources = {name: (lambda df=df: df) for name, df in tables.items()}
+        return cls(sources, one_company_per_order).check()
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -50,19 +78,24 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     )
 
 
-def load_mart(spark: SparkSession, root: str, fmt: str = "parquet") -> SalesMart:
+def load_mart(
+    spark: SparkSession, root: str, fmt: str = "parquet", one_company_per_order: bool = False
+) -> SalesMart:
     """Mart stored as one directory per table below ``root`` (parquet, orc or csv)."""
-    tables = {}
-    for name in SCHEMAS:
+
+    def opener(name: str) -> Callable[[], DataFrame]:
         path = f"{root.rstrip('/')}/{name}"
         if fmt == "csv":
-            # Read as text by header name; conform() checks and casts.
-            tables[name] = spark.read.option("header", True).csv(path)
-        else:
-            tables[name] = spark.read.format(fmt).load(path)
-    return SalesMart.of(**tables)
+            # Text by header name; conform() casts.
+            return lambda: spark.read.option("header", True).csv(path)
+        return lambda: spark.read.format(fmt).load(path)
+
+    return SalesMart({name: opener(name) for name in SCHEMAS}, one_company_per_order)
 
 
-def mart_from_catalog(spark: SparkSession, names: dict[str, str]) -> SalesMart:
+def mart_from_catalog(
+    spark: SparkSession, names: Mapping[str, str], one_company_per_order: bool = False
+) -> SalesMart:
     """Mart held as catalog tables or views; ``names`` maps short name to table."""
-    return SalesMart.of(**{short: spark.table(full) for short, full in names.items()})
+    sources = {short: (lambda t=t: spark.table(t)) for short, t in names.items()}
+    return SalesMart(sources, one_company_per_order)

@@ -25,42 +25,72 @@ PROFILE_AS_OF = date(2001, 8, 1)
 _PRICE = "decimal(12,2)"
 
 
+# The star columns in use. Declared, so that opening a table reads no file.
+STAR = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string",
+    "part": "p_partkey bigint, p_brand string, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_returnflag string, l_linestatus string",
+}
+
+
 def mart_from_star(spark: SparkSession, sf_dir: str, as_of: date = PROFILE_AS_OF) -> SalesMart:
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.read.schema(STAR[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+    def order_items() -> DataFrame:
+        return _items(table("lineitem"), table("part"))
+
+    def pedidos() -> DataFrame:
+        return _orders(table("orders"), table("customer"))
+
+    def place() -> DataFrame:
+        return _client_place(table("customer"), table("nation"))
+
+    return SalesMart(
+        {
+            "pedidos": pedidos,
+            "item_pedidos": order_items,
+            "empresa_pedido": lambda: _companies(
+                table("orders"), place(), table("region"), table("supplier")
+            ),
+            "bonificacao": lambda: _factors(table("part"), table("region")),
+            "varejo_marca": lambda: _brand_names(table("part")),
+            "varejo_cmv": lambda: _retail_costs(
+                table("lineitem"), table("part"), table("orders"), place()
+            ),
+            "pedidos_salao": lambda: _salon_costs(
+                table("lineitem"), table("part"), table("orders")
+            ),
+            "perfil_cliente": lambda: _profile(pedidos(), order_items(), place(), as_of),
+            "cliente_vendedor": lambda: _client_sellers(table("customer")),
+        },
+        # _companies() makes one row per row of orders.
+        one_company_per_order=True,
+    )
 
-    orders, lineitem, part = table("orders"), table("lineitem"), table("part")
-    customer, supplier = table("customer"), table("supplier")
-    nation, region = table("nation"), table("region")
 
-    order_dates = orders.select(
-        F.col("o_orderkey").alias("cod_pedido"), F.col("o_orderdate").cast("date").alias("dt")
-    )
-    client_place = customer.join(
-        nation.select("n_nationkey", "n_regionkey", "n_name"),
-        F.col("c_nationkey") == F.col("n_nationkey"),
-        "left",
-    )
-    items = _items(lineitem, part)
-    pedidos = _orders(orders, customer)
-    return SalesMart.of(
-        pedidos=pedidos,
-        item_pedidos=items,
-        empresa_pedido=_companies(orders, client_place, region, supplier),
-        bonificacao=_factors(part, region),
-        varejo_marca=_brands(part).select(
-            "cod_marca", F.concat(F.lit(" "), F.upper("p_brand"), F.lit(" ")).alias("desc_abrev")
-        ),
-        varejo_cmv=_retail_costs(lineitem, part, orders, client_place),
-        pedidos_salao=_salon_costs(lineitem, part, order_dates),
-        perfil_cliente=_profile(pedidos, items, client_place, as_of),
-        cliente_vendedor=customer.select(
-            F.col("c_custkey").alias("cod_cliente"),
-            (F.col("c_custkey") % N_SELLERS).cast("string").alias("cod_colaborador_atual"),
-        ),
+def _client_place(customer: DataFrame, nation: DataFrame) -> DataFrame:
+    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+
+
+def _client_sellers(customer: DataFrame) -> DataFrame:
+    return customer.select(
+        F.col("c_custkey").alias("cod_cliente"),
+        (F.col("c_custkey") % N_SELLERS).cast("string").alias("cod_colaborador_atual"),
     )
 
 
+def _brand_names(part: DataFrame) -> DataFrame:
+    padded = F.concat(F.lit(" "), F.upper("p_brand"), F.lit(" "))
+    return _brands(part).select("cod_marca", padded.alias("desc_abrev"))
+
+
 def _brand_code(brand: Column) -> Column:
     return F.substring_index(brand, "#", -1).cast("int")
 
@@ -179,11 +209,14 @@ def _retail_costs(
     )
 
 
-def _salon_costs(lineitem: DataFrame, part: DataFrame, order_dates: DataFrame) -> DataFrame:
+def _salon_costs(lineitem: DataFrame, part: DataFrame, orders: DataFrame) -> DataFrame:
     rows = lineitem.filter((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R"))
     brand = F.col("p_brand")
     hyphened = F.concat(F.substring(brand, 1, 2), F.lit("-"), F.substring(brand, 3, 100))
     category = F.when(_brand_code(brand) % 2 == 1, hyphened).otherwise(brand)
+    order_dates = orders.select(
+        F.col("o_orderkey").alias("cod_pedido"), F.col("o_orderdate").cast("date").alias("dt")
+    )
     return _priced_lines(rows, part, "0.50").join(order_dates, "cod_pedido").select(
         "cod_pedido",
         F.col("produto").alias("codprod"),
