@@ -91,48 +91,43 @@ def client_events(dates: DataFrame, cal: StatusCalendar) -> DataFrame:
         F.lead(day).over(by_client).alias("next"),
     )
     floor = F.lit(max(first_day(cal.status_floor), cal.first))
-    events = F.concat(_activity(floor), _churn(cal), _base(cal, floor))
+    # Months of the visit's own event, of churn and of the base, told apart by position.
+    months = F.concat(F.array(_activity_month(floor), _churn_month(cal)), _base_months(cal, floor))
+    status = F.when(F.col("pos") == 0, F.col("activity")).when(F.col("pos") == 1, CHURN)
     lo, hi = F.lit(cal.first), F.lit(first_day(cal.anchor))
     return (
-        visits.select("cod_cliente", F.explode(events).alias("e"))
-        .select("cod_cliente", F.col("e.mes").alias("mes"), F.col("e.status").alias("status"))
-        .filter(F.col("mes").between(lo, hi))
+        visits.select("cod_cliente", _activity().alias("activity"), F.posexplode(months))
+        .filter(F.col("col").between(lo, hi))
+        .select("cod_cliente", F.col("col").alias("mes"), status.otherwise(BASE).alias("status"))
     )
 
 
-def _event(month: Column, status: Column) -> Column:
-    return F.struct(month.alias("mes"), status.alias("status"))
-
-
-def _one_if(cond: Column, event: Column) -> Column:
-    return F.filter(F.array(F.when(cond, event)), lambda e: e.isNotNull())
-
-
-def _activity(floor: Column) -> Column:
-    day, previous = F.col("dt_faturamento"), F.col("previous")
-    month, gap = month_of(day), F.datediff(day, previous)
-    status = (
-        F.when(previous.isNull(), NEW)
+def _activity() -> Column:
+    gap = F.datediff("dt_faturamento", "previous")
+    return (
+        F.when(gap.isNull(), NEW)
         .when(gap > INACTIVE_AFTER, RECOVERED)
         .when(gap > REACTIVATED_AFTER, REACTIVATED)
         .otherwise(RETAINED)
     )
+
+
+def _activity_month(floor: Column) -> Column:
+    """The visit's month, if the visit is the client's first in it."""
+    previous, month = F.col("previous"), month_of(F.col("dt_faturamento"))
     first_of_month = month_of(previous) < month
-    reported = previous.isNull() | (first_of_month & (month >= floor))
-    return _one_if(reported, _event(month, status))
+    return F.when(previous.isNull() | (first_of_month & (month >= floor)), month)
 
 
-def _churn(cal: StatusCalendar) -> Column:
+def _churn_month(cal: StatusCalendar) -> Column:
     """First month start more than 180 days after the last visit of all."""
     after = F.add_months(month_of(F.date_add("dt_faturamento", INACTIVE_AFTER)), 1)
-    month = F.greatest(F.lit(cal.first), after)
-    return _one_if(F.col("next").isNull(), _event(month, F.lit(CHURN)))
+    return F.when(F.col("next").isNull(), F.greatest(F.lit(cal.first), after))
 
 
-def _base(cal: StatusCalendar, floor: Column) -> Column:
+def _base_months(cal: StatusCalendar, floor: Column) -> Column:
     """Month starts from this visit to the day before the next, within 180 days."""
     day = F.col("dt_faturamento")
     start = F.greatest(floor, F.add_months(month_of(F.date_sub(day, 1)), 1))
     until = F.least(F.date_add(day, INACTIVE_AFTER - 1), F.date_sub(F.col("next"), 1))
-    stop = F.least(F.lit(first_day(cal.anchor)), month_of(until))
-    return F.transform(month_starts(start, stop), lambda m: _event(m, F.lit(BASE)))
+    return month_starts(start, F.least(F.lit(first_day(cal.anchor)), month_of(until)))
