@@ -2,42 +2,46 @@
 
 from __future__ import annotations
 
-from datetime import date
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from salescope.functions.dates import month_of
 from salescope.functions.numeric import money_ratio
 from salescope.functions.text import brand_key
-from salescope.operators.filters import SalesFilter, dimension_filter, in_months
-from salescope.operators.lines import order_headers, order_lines, sold_lines
+from salescope.operators.filters import SalesFilter
+from salescope.operators.lines import order_lines
 from salescope.sources.mart import SalesMart
 
 
+def bonus_order(any_text: bool = False) -> Column:
+    """Orders of bonus goods; ``any_text`` accepts every description with BONIFICA."""
+    cfop = F.upper("desc_abrev_cfop")
+    described = cfop.like("%BONIFICA%") if any_text else cfop == "BONIFICADO"
+    return described & (F.col("operacoes_internas") == "N")
+
+
 def bonus_lines(
-    mart: SalesMart,
-    flt: SalesFilter | None = None,
-    months: tuple[date, date] | None = None,
-    any_bonus_text: bool = False,
-    empty_orders: bool = True,
+    mart: SalesMart, flt: SalesFilter | None = None, any_text: bool = False
 ) -> DataFrame:
-    """Lines of bonus orders. The period and the order system play no role here.
+    """Lines of bonus orders. The period and the order system play no role here."""
+    orders = mart.pedidos.filter(bonus_order(any_text))
+    return order_lines(orders, mart.item_pedidos, mart.empresa_pedido, flt)
 
-    ``months`` narrows the scan for a caller that needs no other month, and
-    without ``empty_orders`` the orders without lines, whose value is NULL, are
-    left out. ``any_bonus_text`` accepts every description containing BONIFICA.
-    """
-    cfop = F.upper("desc_abrev_cfop")
-    is_bonus = cfop.like("%BONIFICA%") if any_bonus_text else cfop == "BONIFICADO"
-    orders = mart.pedidos.filter(
-        is_bonus & (F.col("operacoes_internas") == "N") & in_months("dt_faturamento", months)
-    )
-    if empty_orders:
-        return order_lines(orders, mart.item_pedidos, mart.empresa_pedido, flt)
-    headers, items = order_headers(orders, mart.empresa_pedido), mart.item_pedidos
-    if flt is not None:
-        headers, items = dimension_filter(headers, flt), dimension_filter(items, flt)
-    return sold_lines(headers, items)
+
+def factor_counts(factors: DataFrame, *extra: str) -> DataFrame:
+    """Number ``n`` of equal factor rows per company, month and ``extra`` column."""
+    company = F.col("cod_empresa").cast("string").alias("cod_empresa")
+    return factors.groupBy(company, "mes_ref", *extra, "fator").agg(F.count(F.lit(1)).alias("n"))
+
+
+def repeated(total: Column) -> Column:
+    """A total as often as its company and month have the factor, once without factor."""
+    return total * F.coalesce(F.col("n"), F.lit(1))
+
+
+def adjusted(total: Column) -> Column:
+    """A total divided by its factor, rounded; NULL for a factor of 0."""
+    factor = F.col("fator")
+    return F.when(factor.isNull(), F.round(total, 2)).otherwise(money_ratio(total, factor))
 
 
 def bonus_value(
@@ -57,7 +61,8 @@ def bonus_value(
     equal factors are counted, so the repetition never happens at line level.
     """
     seller = ["vendedor", "cod_colaborador"] if by_seller else []
-    on = ["cod_empresa", "mes_ref"] + (["brand"] if match_brand else [])
+    brand = ["brand"] if match_brand else []
+    on = ["cod_empresa", "mes_ref", *brand]
     sums = (
         lines.withColumns(
             {
@@ -71,19 +76,15 @@ def bonus_value(
         .groupBy(*on, *seller)
         .agg(F.sum("preco_total").alias("total"))
     )
-    dim = factors.withColumn("cod_empresa", F.col("cod_empresa").cast("string"))
     if match_brand:
         names = brands.select("cod_marca", brand_key(F.col("desc_abrev")).alias("brand"))
-        dim = dim.join(names, "cod_marca")
-    dim = dim.groupBy(*on, "fator").agg(F.count(F.lit(1)).alias("n"))
+        factors = factors.join(names, "cod_marca")
 
-    total, factor = F.col("total"), F.col("fator")
     keys = ["mes_ref", *seller]
     per_factor = (
-        sums.join(dim, on, "left")
+        sums.join(factor_counts(factors, *brand), on, "left")
         .groupBy(*keys, "fator")
-        .agg(F.sum(total * F.coalesce(F.col("n"), F.lit(1))).alias("total"))
-        .withColumn("value", F.when(factor.isNull(), F.round(total, 2)).otherwise(
-            money_ratio(total, factor)))
+        .agg(F.sum(repeated(F.col("total"))).alias("total"))
     )
-    return per_factor.groupBy(*keys).agg(F.round(F.sum("value"), 2).alias("valor_bonificacao"))
+    value = F.round(F.sum(adjusted(F.col("total"))), 2)
+    return per_factor.groupBy(*keys).agg(value.alias("valor_bonificacao"))

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from salescope.functions.dates import calendar_between, first_day, month_of, shift_months
-from salescope.functions.numeric import as_double, double_ratio, markup_pct, money_ratio
-from salescope.operators.bonus import bonus_lines, bonus_value
+from salescope.functions.numeric import MONEY, as_double, double_ratio, markup_pct, money_ratio
+from salescope.operators.bonus import adjusted, bonus_order, factor_counts, repeated
 from salescope.operators.cost import cmv_unit_cost, with_unit_cost
-from salescope.operators.filters import SalesFilter, dimension_filter, sales_filter
-from salescope.operators.lines import filtered_headers, orders_with_items, sold_lines
+from salescope.operators.filters import (
+    SalesFilter,
+    dimension_filter,
+    in_months,
+    in_period,
+    valid_sale,
+)
+from salescope.operators.lines import order_headers, orders_with_items, sold_lines
 from salescope.sources.mart import SalesMart
 
 MEASURES = [
@@ -46,55 +52,126 @@ def monthly_revenue_legacy(mart: SalesMart, flt: SalesFilter) -> DataFrame:
 
 
 def _monthly(mart: SalesMart, flt: SalesFilter, legacy: bool = False) -> DataFrame:
-    by_seller = bool(flt.seller_code)
-    keys = ["mes_ref"] + (["vendedor", "cod_colaborador"] if by_seller else [])
+    """Sales and bonus lines in one pass over the items.
 
-    orders = sales_filter(mart.pedidos, flt.start, flt.end, check_origin=not legacy)
-    seller = [
-        F.col("nome_colaborador_atual").alias("vendedor"),
-        F.col("cod_colaborador_atual").alias("cod_colaborador"),
-    ]
-    headers = filtered_headers(mart, orders, flt, company_columns=by_seller).select(
+    The items are the largest table and carry no date, so they are joined once,
+    to the orders of both kinds. The kinds never overlap: no bonus description
+    is a sale description.
+    """
+    by_seller = bool(flt.seller_code)
+    seller = ["vendedor", "cod_colaborador"] if by_seller else []
+    keys = ["mes_ref", *seller]
+
+    sale = in_period("dt_faturamento", flt.start, flt.end) & valid_sale(check_origin=not legacy)
+    bonus = bonus_order(any_text=legacy)
+    orders = mart.pedidos.filter(in_months("dt_faturamento", flt.months) & (sale | bonus))
+    orders = orders.withColumn("is_sale", F.coalesce(sale, F.lit(False)))
+    headers = dimension_filter(order_headers(orders, mart.empresa_pedido), flt).select(
         "cod_pedido",
         "cpfcnpj",
+        "is_sale",
         month_of(F.col("dt_faturamento")).alias("mes_ref"),
-        *(seller if by_seller else []),
+        F.when(~F.col("is_sale"), F.col("cod_empresa_faturamento")).alias("cod_empresa"),
+        F.col("nome_colaborador_atual").alias("vendedor"),
+        F.col("cod_colaborador_atual").alias("cod_colaborador"),
     )
     items = dimension_filter(mart.item_pedidos, flt)
-    costs = cmv_unit_cost(
-        mart.varejo_cmv, mart.pedidos_salao, mart.bonificacao, months=flt.months
-    )
-    bonus = bonus_value(
-        bonus_lines(mart, flt, flt.months, any_bonus_text=legacy, empty_orders=False),
-        mart.bonificacao,
-        mart.varejo_marca,
-        by_seller,
-    )
+    costs = cmv_unit_cost(mart.varejo_cmv, mart.pedidos_salao, mart.bonificacao, months=flt.months)
+    lines = with_unit_cost(sold_lines(headers.drop("cpfcnpj"), items), costs)
+
+    sales = headers.filter("is_sale")
+    heads = _order_counts(orders_with_items(sales, items) if flt.brands else sales, keys)
+    sums = _line_sums(lines, mart.bonificacao.filter(in_months("mes_ref", flt.months)), keys)
+    parts = heads.unionByName(sums, allowMissingColumns=True)
+    # A measure comes from one part, the bonus from one row per factor.
+    measures = [F.max(c).alias(c) for c in parts.columns if c not in (*keys, "bonus")]
+    merged = parts.groupBy(*keys).agg(*measures, F.round(F.sum("bonus"), 2).alias("bonus"))
+    return _with_ratios(_bonus_by_code(merged) if by_seller else merged, keys)
+
+
+def _order_counts(headers: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct clients and orders, counted on the orders.
 
-    # Clients and orders are counted on the orders, products and brands on line
-    # sums already reduced to (month, product, brand). Counting all four on the
-    # lines would copy every line once per distinct count.
-    counted = orders_with_items(headers, items) if flt.brands else headers
-    heads = counted.groupBy(*keys).agg(
+    Products and brands are counted on reduced line sums. Counting all four on
+    the lines would copy every line once per distinct count.
+    """
+    return headers.groupBy(*keys).agg(
         F.countDistinct("cpfcnpj").alias("positivacao"),
         F.countDistinct("cod_pedido").alias("qtd_pedido"),
     )
-    lines = with_unit_cost(sold_lines(headers.drop("cpfcnpj"), items), costs)
-    sums = _line_sums(lines, keys)
 
-    # Both parts hold at most one row per key; grouping also pairs NULL seller names.
-    parts = heads.unionByName(sums, allowMissingColumns=True)
-    merged = parts.groupBy(*keys).agg(*[F.max(c).alias(c) for c in parts.columns if c not in keys])
 
-    on = ["mes_ref"] + (["cod_colaborador"] if by_seller else [])
+def _line_sums(lines: DataFrame, factors: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of the sale lines per key, and bonus values per key and factor.
+
+    Sale lines are first reduced to (key, product, brand) and bonus lines to
+    (key, company). Only the few reduced bonus rows meet the factors.
+    """
+    is_sale, qty = F.col("is_sale"), F.col("qtd")
+    cost = F.coalesce(F.col("custo_medio"), F.lit(0).cast(MONEY)) * qty
+    reduced = lines.groupBy(
+        *keys,
+        "is_sale",
+        "cod_empresa",
+        F.when(is_sale, F.col("cod_produto")).alias("cod_produto"),
+        F.when(is_sale, F.col("marca")).alias("marca"),
+    ).agg(
+        F.sum("preco_total").alias("bruto"),
+        F.sum("preco_desconto_rateado").alias("liquido"),
+        F.sum(cost).alias("custo"),
+        F.sum(qty).alias("itens"),
+    )
+    per_factor = (
+        reduced.join(factor_counts(factors), ["cod_empresa", "mes_ref"], "left")
+        .groupBy(*keys, "is_sale", "fator")
+        .agg(
+            F.sum(repeated(F.col("bruto"))).alias("bruto"),
+            F.sum("liquido").alias("liquido"),
+            F.sum("custo").alias("custo"),
+            F.sum("itens").alias("itens"),
+            F.countDistinct("cod_produto").alias("produtos"),
+            F.countDistinct("marca").alias("marcas"),
+        )
+    )
+
+    def of_sales(measure: str) -> Column:
+        return F.when(is_sale, F.col(measure))
+
+    return per_factor.select(
+        *keys,
+        F.round(of_sales("bruto"), 2).alias("faturamento_bruto"),
+        F.round(of_sales("liquido"), 2).alias("faturamento_liquido"),
+        F.round(of_sales("custo"), 2).alias("custo_total"),
+        of_sales("itens").alias("qtd_itens"),
+        of_sales("produtos").alias("qtd_sku"),
+        of_sales("marcas").alias("qtd_marcas"),
+        F.when(~is_sale, adjusted(F.col("bruto"))).alias("bonus"),
+    )
+
+
+def _bonus_by_code(merged: DataFrame) -> DataFrame:
+    """Give each seller row the bonus of every name its code has in that month.
+
+    Bonus meets revenue on month and code without the name, so two names of one
+    code see each other's bonus. A window holds the names of one code only.
+    """
+    same_code = Window.partitionBy("mes_ref", "cod_colaborador")
+    found = F.collect_list("bonus").over(same_code)
+    return merged.withColumn("found", found).select(
+        *[c for c in merged.columns if c != "bonus"], F.explode_outer("found").alias("bonus")
+    )
+
+
+def _with_ratios(merged: DataFrame, keys: list[str]) -> DataFrame:
     net, cost = F.col("faturamento_liquido"), F.col("custo_total")
+    # Without a sale order there is no revenue row, whatever the bonus.
     full = (
-        merged.join(bonus.select(*on, "valor_bonificacao"), on, "left")
+        merged.filter(F.col("qtd_pedido").isNotNull())
         .na.fill(0, list(_COUNTS))
         .withColumns(
             {
                 "desconto": F.round(F.col("faturamento_bruto") - net, 2),
-                "valor_bonificacao": F.coalesce("valor_bonificacao", F.lit(0)),
+                "valor_bonificacao": F.coalesce("bonus", F.lit(0)),
                 "Ticket_Medio_Positivacao": money_ratio(net, F.col("positivacao")),
                 "Ticket_Medio_Pedidos": money_ratio(net, F.col("qtd_pedido")),
                 "markup_percentual": markup_pct(net, cost),
@@ -107,25 +184,6 @@ def _monthly(mart: SalesMart, flt: SalesFilter, legacy: bool = False) -> DataFra
     return as_double(full, *money).orderBy(*order)
 
 
-def _line_sums(lines: DataFrame, keys: list[str]) -> DataFrame:
-    qty = F.col("qtd")
-    cost = F.coalesce(F.col("custo_medio"), F.lit(0).cast("decimal(18,2)")) * qty
-    reduced = lines.groupBy(*keys, "cod_produto", "marca").agg(
-        F.sum("preco_total").alias("bruto"),
-        F.sum("preco_desconto_rateado").alias("liquido"),
-        F.sum(cost).alias("custo"),
-        F.sum(qty).alias("itens"),
-    )
-    return reduced.groupBy(*keys).agg(
-        F.round(F.sum("bruto"), 2).alias("faturamento_bruto"),
-        F.round(F.sum("liquido"), 2).alias("faturamento_liquido"),
-        F.round(F.sum("custo"), 2).alias("custo_total"),
-        F.sum("itens").alias("qtd_itens"),
-        F.countDistinct("cod_produto").alias("qtd_sku"),
-        F.countDistinct("marca").alias("qtd_marcas"),
-    )
-
-
 def monthly_series(revenue: DataFrame, start: date, end: date) -> DataFrame:
     """Net revenue and clients for every month start within the period, 0 where none."""
     lo = start if start.day == 1 else shift_months(start, 1)

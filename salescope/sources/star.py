@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from salescope.functions.dates import month_starts
-from salescope.functions.numeric import FACTOR, MONEY
+from salescope.functions.numeric import FACTOR
 from salescope.operators.profile import client_profile
 from salescope.sources.mart import SalesMart
 
@@ -21,8 +21,6 @@ FIRST_FACTOR_MONTH = date(1995, 1, 1)
 LAST_FACTOR_MONTH = date(2001, 8, 1)
 PROFILE_AS_OF = date(2001, 8, 1)
 
-# TPC-H prices fit decimal(12,2); products of such values stay within 18 digits.
-_PRICE = "decimal(12,2)"
 
 
 # The star columns in use. Declared, so that opening a table reads no file.
@@ -91,6 +89,21 @@ def _brand_names(part: DataFrame) -> DataFrame:
     return _brands(part).select("cod_marca", padded.alias("desc_abrev"))
 
 
+def _hundredths(x: Column) -> Column:
+    """A double that holds at most two decimals, as a whole number of hundredths."""
+    return F.rint(x * 100).cast("bigint")
+
+
+def _money(hundredths: Column) -> Column:
+    """Exact decimal(18,2) by long arithmetic; casting the double would go through text."""
+    return hundredths.cast("decimal(15,0)") * F.lit("0.01").cast("decimal(2,2)")
+
+
+def _percent(hundredths: Column, percent: Column | int) -> Column:
+    """``percent`` of a non-negative amount, rounded half up."""
+    return F.floor((hundredths * percent + 50) / 100)
+
+
 def _brand_code(brand: Column) -> Column:
     return F.substring_index(brand, "#", -1).cast("int")
 
@@ -117,16 +130,16 @@ def _orders(orders: DataFrame, customer: DataFrame) -> DataFrame:
 
 
 def _items(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    price = F.col("l_extendedprice").cast(_PRICE)
-    keep = F.lit(1) - F.col("l_discount").cast("decimal(4,2)")
+    price = _hundredths(F.col("l_extendedprice"))
+    keep = F.lit(100) - _hundredths(F.col("l_discount"))
     return lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("cod_pedido"),
         F.col("l_partkey").alias("cod_produto"),
         F.col("l_partkey").cast("string").alias("sku"),
         F.col("p_brand").alias("marca"),
-        F.col("l_quantity").cast(MONEY).alias("qtd"),
-        price.cast(MONEY).alias("preco_total"),
-        F.round(price * keep, 2).cast(MONEY).alias("preco_desconto_rateado"),
+        _money(_hundredths(F.col("l_quantity"))).alias("qtd"),
+        _money(price).alias("preco_total"),
+        _money(_percent(price, keep)).alias("preco_desconto_rateado"),
     )
 
 
@@ -178,13 +191,13 @@ def _factors(part: DataFrame, region: DataFrame) -> DataFrame:
     )
 
 
-def _priced_lines(lineitem: DataFrame, part: DataFrame, share: str) -> DataFrame:
-    cost = F.round(F.col("p_retailprice").cast(_PRICE) * F.lit(share).cast("decimal(3,2)"), 2)
+def _priced_lines(lineitem: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+    cost = _money(_percent(_hundredths(F.col("p_retailprice")), percent))
     return lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("cod_pedido"),
         F.col("l_partkey").cast("string").alias("produto"),
-        F.col("l_quantity").cast(MONEY).alias("qtd"),
-        cost.cast(MONEY).alias("custo"),
+        _money(_hundredths(F.col("l_quantity"))).alias("qtd"),
+        cost.alias("custo"),
         "p_brand",
     )
 
@@ -192,7 +205,7 @@ def _priced_lines(lineitem: DataFrame, part: DataFrame, share: str) -> DataFrame
 def _retail_costs(
     lineitem: DataFrame, part: DataFrame, orders: DataFrame, client_place: DataFrame
 ) -> DataFrame:
-    lines = _priced_lines(lineitem.filter(F.col("l_linestatus") == "F"), part, "0.60")
+    lines = _priced_lines(lineitem.filter(F.col("l_linestatus") == "F"), part, 60)
     companies = orders.join(client_place, F.col("o_custkey") == F.col("c_custkey"), "left").select(
         F.col("o_orderkey").alias("cod_pedido"),
         F.col("o_orderdate").cast("date").alias("dt_faturamento"),
@@ -217,7 +230,7 @@ def _salon_costs(lineitem: DataFrame, part: DataFrame, orders: DataFrame) -> Dat
     order_dates = orders.select(
         F.col("o_orderkey").alias("cod_pedido"), F.col("o_orderdate").cast("date").alias("dt")
     )
-    return _priced_lines(rows, part, "0.50").join(order_dates, "cod_pedido").select(
+    return _priced_lines(rows, part, 50).join(order_dates, "cod_pedido").select(
         "cod_pedido",
         F.col("produto").alias("codprod"),
         F.col("dt").alias("dtvenda"),

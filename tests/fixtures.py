@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from salescope.operators.filters import SalesFilter
@@ -22,15 +23,25 @@ def dec(x) -> Decimal | None:
     return None if x is None else Decimal(str(x))
 
 
+ARROW = {
+    "bigint": pa.int64(),
+    "int": pa.int32(),
+    "date": pa.date32(),
+    "string": pa.string(),
+    "decimal(18,2)": pa.decimal128(18, 2),
+    "decimal(9,4)": pa.decimal128(9, 4),
+}
+
+
 def table(spark: SparkSession, name: str, rows) -> DataFrame:
+    """Arrow input becomes a local relation, which needs no Python worker."""
     columns = SCHEMAS[name]
-    ddl = ", ".join(f"{c} {t}" for c, t in columns.items())
-    kinds = list(columns.values())
-    cells = [
-        tuple(dec(v) if k.startswith("decimal") else v for v, k in zip(row, kinds, strict=True))
-        for row in rows
+    cells = list(zip(*rows, strict=True)) if rows else [()] * len(columns)
+    arrays = [
+        pa.array([dec(v) if kind.startswith("decimal") else v for v in values], ARROW[kind])
+        for values, kind in zip(cells, columns.values(), strict=True)
     ]
-    return spark.createDataFrame(cells, ddl)
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=list(columns)))
 
 
 def mart_of(spark: SparkSession, **rows) -> SalesMart:

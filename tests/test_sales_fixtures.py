@@ -83,7 +83,7 @@ def test_bonus_text_rule_of_the_older_version(spark):
         return rows(bonus_value(bonus_lines(m, **kw), m.bonificacao, m.varejo_marca))
 
     assert total() == [(JAN, dec("7.00"))]
-    assert total(any_bonus_text=True) == [(JAN, dec("12.00"))]
+    assert total(any_text=True) == [(JAN, dec("12.00"))]
 
 
 RETAIL = [(1, "1", d("2024-01-10"), 2, 3, 1, "0")]
@@ -223,8 +223,13 @@ def test_repeated_company_rows_repeat_the_lines(spark):
     m = sales(spark, empresa_pedido=twice)
     got = revenue.monthly_revenue(m, PERIOD).first()
     assert (got["faturamento_liquido"], got["qtd_pedido"]) == (100, 1)
-    vouched = SalesMart(m._sources, one_company_per_order=True)
-    assert revenue.monthly_revenue(vouched, PERIOD).first()["faturamento_liquido"] == 50
+
+    def of_x(mart):
+        x = brands.brand_performance(mart, PERIOD).filter("marca = 'X'").first()
+        return x["faturamento"], x["qtd_pedido"]
+
+    assert of_x(m) == (2 * 40 + 25, 2)
+    assert of_x(SalesMart(m._sources, one_company_per_order=True)) == (40 + 25, 2)
 
 
 def test_revenue_by_seller_keeps_unnamed_sellers(spark):
@@ -236,6 +241,41 @@ def test_revenue_by_seller_keeps_unnamed_sellers(spark):
     assert got == [(None, "1", 50.0, 1), ("Ana", "1", 25.0, 1)]
 
 
+def test_bonus_meets_revenue_by_code_whatever_the_name(spark):
+    m = sales(
+        spark,
+        pedidos=[order(1), order(2, cfop="BONIFICADO"), order(3, cfop="BONIFICADO")],
+        item_pedidos=[item(1, gross=50), item(2, gross=8), item(3, gross=6)],
+        empresa_pedido=[company(1), company(2, name="Ana B."), company(3, name=None)],
+        bonificacao=[factor(value=2), factor(brand_code=2)],
+    )
+    got = rows(
+        revenue.monthly_revenue(m, PERIOD.but(seller_code="1")),
+        "vendedor", "faturamento_bruto", "valor_bonificacao",
+    )
+    # 8/2 + 8 and 6/2 + 6: one revenue row for each bonus row of the code
+    assert sorted(got) == [("Ana", 50.0, 9.0), ("Ana", 50.0, 12.0)]
+    assert rows(revenue.monthly_revenue(m, PERIOD), "valor_bonificacao") == [(21.0,)]
+
+
+def test_bonus_without_any_sale_gives_no_revenue_row(spark):
+    m = sales(spark, pedidos=[order(1, cfop="BONIFICADO")])
+    assert rows(revenue.monthly_revenue(m, PERIOD)) == []
+
+
+def test_bonus_counts_for_whole_months(spark):
+    m = sales(
+        spark,
+        pedidos=[order(1), order(2, cfop="BONIFICADO", day="2024-01-31", origin=None)],
+        item_pedidos=[item(1, gross=50), item(2, gross=8)],
+        empresa_pedido=[],
+    )
+    flt = SalesFilter(d("2024-01-05"), d("2024-01-20"))
+    assert rows(revenue.monthly_revenue(m, flt), "faturamento_bruto", "valor_bonificacao") == [
+        (50.0, 8.0)
+    ]
+
+
 def test_code_and_names_both_apply_to_revenue(spark):
     flt = PERIOD.but(seller_code="1", seller_names=("Bia",))
     assert rows(revenue.monthly_revenue(sales(spark), flt)) == []
