@@ -29,8 +29,12 @@ def filtered_headers(
 
 
 def sold_lines(headers: DataFrame, items: DataFrame) -> DataFrame:
-    """Item lines of the given orders."""
-    return splittable_join(headers, items, ["cod_pedido"])
+    """Item lines of the given orders.
+
+    The items come first: a merge join streams its left input and buffers the
+    right rows of a key, which should be the one header and not a hot order's lines.
+    """
+    return splittable_join(items, headers, ["cod_pedido"])
 
 
 def orders_without_items(headers: DataFrame, items: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ def client_profile(orders: DataFrame, items: DataFrame, as_of: date) -> DataFram
     known = orders.filter(F.col("cpfcnpj").isNotNull()).withColumnRenamed("cpfcnpj", "Cod_Cliente")
     months = known.select("Cod_Cliente", month_of(F.col("dt_faturamento")).alias("m")).distinct()
     money = (
-        known.select("cod_pedido", "Cod_Cliente")
-        .join(items.select("cod_pedido", "preco_desconto_rateado"), "cod_pedido")
+        items.select("cod_pedido", "preco_desconto_rateado")
+        .join(known.select("cod_pedido", "Cod_Cliente"), "cod_pedido")
         .groupBy("Cod_Cliente")
         .agg(F.sum("preco_desconto_rateado").alias("total"))
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from salescope.functions.dates import month_starts
 from salescope.functions.numeric import FACTOR
+from salescope.operators.joins import splittable_join
 from salescope.operators.profile import client_profile
 from salescope.sources.mart import SalesMart
 
@@ -211,7 +212,7 @@ def _retail_costs(
         F.col("o_orderdate").cast("date").alias("dt_faturamento"),
         F.col("n_regionkey").cast("string").alias("cod_empresa"),
     )
-    return lines.join(companies, "cod_pedido").select(
+    return splittable_join(lines, companies, ["cod_pedido"]).select(
         "cod_pedido",
         F.col("produto").alias("cod_produto"),
         "dt_faturamento",
