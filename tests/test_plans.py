@@ -44,14 +44,6 @@ def final_plan(df) -> str:
     return plan_of(df)
 
 
-@needs_data
-@pytest.mark.parametrize("name", sorted(registry.queries()))
-def test_no_query_needs_a_cross_or_nested_loop_join(spark, name):
-    with conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
-        plan = plan_of(registry.queries()[name](spark, SF_DIR))
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-
-
 # Rows that may meet in one task: one per brand, month or result.
 ONE_TASK = {
     "brand_table", "brand_table_selected", "client_status_shares", "latest_month_kpis",
@@ -60,19 +52,18 @@ ONE_TASK = {
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - ONE_TASK))
-def test_no_query_gathers_rows_in_one_partition(spark, name):
-    assert "SinglePartition" not in plan_of(registry.queries()[name](spark, SF_DIR))
-
-
-@needs_data
-@pytest.mark.parametrize("name", sorted(ONE_TASK))
-def test_what_meets_in_one_partition_is_aggregated(spark, name):
-    plan = plan_of(registry.queries()[name](spark, SF_DIR)).splitlines()
-    at = [i for i, line in enumerate(plan) if "SinglePartition" in line]
-    for i in at:
-        passed = r"Project|Filter|Sort \[|Exchange rangepartitioning"
-        below = next(x for x in plan[i + 1:] if not re.search(passed, x))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_no_cross_join_and_no_gathering(spark, name):
+    """No cross or nested-loop join; what meets in one partition is aggregated before."""
+    with conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        plan = plan_of(registry.queries()[name](spark, SF_DIR))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    lines_of_plan = plan.splitlines()
+    gathered = [i for i, line in enumerate(lines_of_plan) if "SinglePartition" in line]
+    assert not gathered or name in ONE_TASK
+    passed = r"Project|Filter|Sort \[|Exchange rangepartitioning"
+    for i in gathered:
+        below = next(x for x in lines_of_plan[i + 1:] if not re.search(passed, x))
         assert "Aggregate(" in below
 
 
