@@ -12,6 +12,8 @@ from salescope.llm.common import table
 from salescope.llm.decontaminate import contamination
 from salescope.llm.license_scan import license_scan
 from salescope.llm.line_spread import line_dedup
+from salescope.llm.nn_descent import nearest
+from salescope.llm.order_minhash import near_duplicates
 from salescope.llm.packing import packed_pieces
 from salescope.llm.quality import quality_scores
 from salescope.llm.token_frames import token_files
@@ -25,6 +27,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": lambda s, d: warc_round_trip(table(s, d, "pages")),
         "op2_quality": lambda s, d: quality_scores(table(s, d, "documents"), table(s, d, "labels")),
+        "op3_near_dedup": lambda s, d: near_duplicates(table(s, d, "documents")),
+        "op4_neighbours": lambda s, d: nearest(table(s, d, "embeddings")),
         "op5_line_dedup": lambda s, d: line_dedup(table(s, d, "documents")),
         "op6_toxicity": lambda s, d: toxicity_scores(table(s, d, "documents"), table(s, d, "labels")),
         "op7_decontaminate": lambda s, d: contamination(table(s, d, "documents"), table(s, d, "benchmark")),
