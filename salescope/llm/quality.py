@@ -123,7 +123,7 @@ def fit_bags(bags: list[np.ndarray], y: np.ndarray) -> dict:
     }
     fixed = {"mean": x.mean(0), "scale": np.maximum(x.std(0), 0.02)}
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return p | fixed | {"c": np.zeros(HIDDEN), "d": np.array([np.log(share / (1 - share))])}
     sizes = np.array([len(b) for b in bags])

@@ -27,7 +27,7 @@ WITH d AS (
   FROM documents
 ),
 l AS (
-  SELECT rid, doc_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS at FROM d
+  SELECT rid, doc_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS place FROM d
 ),
 b AS (
   SELECT trim(line, ' ') AS line FROM l WHERE trim(line, ' ') <> ''
@@ -37,8 +37,8 @@ marked AS (
   SELECT l.*, b.line IS NOT NULL AS cut FROM l LEFT JOIN b ON trim(l.line, ' ') = b.line
 ),
 per AS (
-  SELECT rid, count(*) AS n_lines, count(*) FILTER (cut) AS n_removed,
-         coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT cut), '') AS text
+  SELECT rid, count(*) AS n_lines, count(*) FILTER (WHERE cut) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT cut), '') AS text
   FROM marked GROUP BY rid
 )
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, per.text
