@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
-
-    Only a local session, where driver and executors share one disk, may fall
-    back to a temporary folder of its own.
-    """
+    """Folder named by ``spark.checkpoint.dir``, else one beside the warehouse's tables."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    path = tempfile.mkdtemp(prefix="salescope-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    return path or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -226,7 +226,7 @@ def _retail_costs(
 def _salon_costs(lineitem: DataFrame, part: DataFrame, orders: DataFrame) -> DataFrame:
     rows = lineitem.filter((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R"))
     brand = F.col("p_brand")
-    hyphened = F.concat(F.substring(brand, 1, 2), F.lit("-"), F.substring(brand, 3, 100))
+    hyphened = F.concat(F.substring(brand, 1, 2), F.lit("-"), F.expr("substring(p_brand, 3)"))
     category = F.when(_brand_code(brand) % 2 == 1, hyphened).otherwise(brand)
     order_dates = orders.select(
         F.col("o_orderkey").alias("cod_pedido"), F.col("o_orderdate").cast("date").alias("dt")
