@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from salescope.llm.common import WORD, small_batches, word_list
+from salescope.llm.common import WORD, small_batches, word_list, written
 
 WINDOW = 10
 #: One automaton holds items of at most so many words (an item is never split);
@@ -184,13 +184,15 @@ def with_hits(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFram
     """``docs`` with _n_words, _spans (pairs of little-endian 64-bit word numbers) and _items.
 
     One pass for each block of items, without a shuffle: what earlier blocks
-    found travels with the row.
+    found travels with the row. Passes are parted by a written table, or the
+    workers of all would hold their automata at the same time.
     """
     spark = docs.sparkSession
     small_batches(spark)
     out = docs.selectExpr("*", "0L as _n_words", "cast('' as binary) as _spans", "array('') as _items")
     schema, out = out.schema, docs
     for k, block in enumerate(item_blocks(items)):
+        out = written(out, "leak-pass") if k else out
         out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(block), text, first=k == 0), schema)
     if out is docs:
         out = docs.mapInArrow(_scanner(spark.sparkContext.broadcast([]), text, first=True), schema)
@@ -270,27 +272,19 @@ def remove_contamination(docs: DataFrame, items: DataFrame, max_coverage: float
 
     Columns are those of ``docs``; n_chars, if there is one, follows the new text.
     Text around a cut does not grow together: the separators on both sides stay.
-    Cutting is repeated until no window is left.
+    Cutting is repeated until no window is left. Items that fit one automaton
+    take one pass, in which a worker repeats the cut by itself; more of them take
+    rounds over the hits of all automata, each round written.
     """
-    names = docs.columns
+    spark, names = docs.sparkSession, docs.columns
+    small_batches(spark)
     packed = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
-    for _ in range(3):
-        hit = with_hits(packed, items, "_text")
-        schema = packed.schema
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep, texts = [], []
-                cells = (b.column(c).to_pylist() for c in ("_text", "_spans", "_n_words"))
-                for t, s, n in zip(*cells, strict=True):
-                    spans = np.frombuffer(s, _SPAN).reshape(-1, 2)
-                    share = int((spans[:, 1] - spans[:, 0]).sum()) / n if n else 0
-                    keep.append(share <= max_coverage)
-                    texts.append(cut(t, spans) if len(spans) else t)
-                rows = [b.column("_row"), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(rows, ["_row", "_text"]).filter(pa.array(keep))
-
-        packed = hit.mapInArrow(run, schema)
+    blocks = item_blocks(items)
+    only, more = next(blocks, []), next(blocks, None)
+    if more is None:
+        packed = packed.mapInArrow(_cutter(spark.sparkContext.broadcast(only), max_coverage), packed.schema)
+    else:
+        packed = _cut_in_rounds(packed, items, max_coverage)
     own = {
         "text": F.col("_text").alias("text"),
         "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
@@ -298,3 +292,52 @@ def remove_contamination(docs: DataFrame, items: DataFrame, max_coverage: float
         else None,
     }
     return packed.select(*(own.get(c) if own.get(c) is not None else F.col(f"_row.`{c}`") for c in names))
+
+
+def _share(spans: np.ndarray, n_words: int) -> float:
+    return int((spans[:, 1] - spans[:, 0]).sum()) / n_words if n_words else 0.0
+
+
+def _cutter(block, max_coverage: float):
+    """Cut one automaton's hits out of _text until none is left."""
+
+    def clean(automaton: SuffixAutomaton, text: str | None) -> tuple[bool, str | None]:
+        while True:
+            words = word_list(text)
+            spans, _ = automaton.scan(words)
+            if not len(spans):
+                return True, text
+            if _share(spans, len(words)) > max_coverage:
+                return False, text
+            text = cut(text, spans)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = SuffixAutomaton(block.value)
+        for b in batches:
+            done = [clean(automaton, t) for t in b.column("_text").to_pylist()]
+            rows = [b.column("_row"), pa.array([t for _, t in done], pa.string())]
+            yield pa.RecordBatch.from_arrays(rows, ["_row", "_text"]).filter(pa.array([k for k, _ in done], pa.bool_()))
+
+    return run
+
+
+def _cut_in_rounds(packed: DataFrame, items: DataFrame, max_coverage: float) -> DataFrame:
+    """Cut the hits of all automata out of _text, in rounds until none is left."""
+    schema = packed.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, texts = [], []
+            cells = (b.column(c).to_pylist() for c in ("_text", "_spans", "_n_words"))
+            for t, s, n in zip(*cells, strict=True):
+                spans = np.frombuffer(s, _SPAN).reshape(-1, 2)
+                keep.append(_share(spans, n) <= max_coverage)
+                texts.append(cut(t, spans) if len(spans) else t)
+            rows = [b.column("_row"), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(rows, ["_row", "_text"]).filter(pa.array(keep, pa.bool_()))
+
+    while True:
+        hit = written(with_hits(packed, items, "_text"), "leak-hits")
+        if hit.filter(F.length("_spans") > 0).isEmpty():
+            return hit.select("_row", "_text")
+        packed = hit.mapInArrow(run, schema)
