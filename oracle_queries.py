@@ -35,20 +35,21 @@ place AS (
 empresa_pedido AS (
   SELECT o_orderkey AS cod_pedido, CAST(n_regionkey AS VARCHAR) AS cod_empresa_faturamento,
          r_name AS nome_empresa_faturamento, n_name AS uf_empresa_faturamento,
-         CAST(o_orderkey % 10 AS VARCHAR) AS cod_colaborador_atual,
+         CAST(o_orderkey % (SELECT count(*) FROM supplier) AS VARCHAR) AS cod_colaborador_atual,
          s_name AS nome_colaborador_atual, s_name AS nome_colaborador_pedido,
          c_mktsegment AS equipes
   FROM orders LEFT JOIN place ON c_custkey = o_custkey
   LEFT JOIN region ON r_regionkey = n_regionkey
-  LEFT JOIN supplier ON s_suppkey = o_orderkey % 10
+  LEFT JOIN supplier ON s_suppkey = o_orderkey % (SELECT count(*) FROM supplier)
 ),
 brand_codes AS (
   SELECT DISTINCT p_brand, CAST(split_part(p_brand, '#', 2) AS INTEGER) AS cod_marca FROM part
 ),
 varejo_marca AS (SELECT cod_marca, ' ' || upper(p_brand) || ' ' AS desc_abrev FROM brand_codes),
 factor_months AS (
-  SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-08-01', INTERVAL 1 MONTH)) AS DATE)
-    AS mes_ref
+  SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS mes_ref
+  FROM (SELECT date_trunc('month', CAST(min(o_orderdate) AS TIMESTAMP)) AS lo,
+               date_trunc('month', CAST(max(o_orderdate) AS TIMESTAMP)) AS hi FROM orders)
 ),
 bonificacao AS (
   SELECT r_regionkey AS cod_empresa, mes_ref, cod_marca,
@@ -93,7 +94,7 @@ perfil_cliente AS (
   FROM order_money LEFT JOIN place ON c_custkey = cpfcnpj GROUP BY cpfcnpj
 ),
 cliente_vendedor AS (
-  SELECT c_custkey AS cod_cliente, CAST(c_custkey % 10 AS VARCHAR) AS cod_colaborador_atual FROM customer
+  SELECT c_custkey AS cod_cliente, CAST(c_custkey % (SELECT count(*) FROM supplier) AS VARCHAR) AS cod_colaborador_atual FROM customer
 )"""
 
 START, END = "DATE '2000-09-01'", "DATE '2001-08-01'"

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Amounts, costs and quantities as read, and averages that are rounded to cents.
+AMOUNT = "decimal(18,6)"
 MONEY = "decimal(18,2)"
-FACTOR = "decimal(9,4)"
+FACTOR = "decimal(18,8)"
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -18,7 +20,7 @@ def ratio(num: Column, den: Column) -> Column:
     The two casts pick operand types for which Spark's result type keeps ten
     decimals; wider operands would silently fall back to six.
     """
-    return F.try_divide(num.cast("decimal(26,4)"), den.cast("decimal(22,6)"))
+    return F.try_divide(num.cast("decimal(28,8)"), den.cast("decimal(24,8)"))
 
 
 def money_ratio(num: Column, den: Column) -> Column:

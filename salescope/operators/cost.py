@@ -31,7 +31,9 @@ def _weighted(rows: DataFrame, keys: list[str], qty: str, cost: str) -> DataFram
     sums = rows.groupBy(*keys, "fator").agg(
         F.sum(F.col(qty) * F.col(cost) * n).alias("value"), F.sum(F.col(qty) * n).alias("weight")
     )
-    average = money_ratio(F.col("value"), F.col("weight") * factor).cast(MONEY)
+    # The operand types keep all decimals of the product.
+    weight = F.col("weight").cast("decimal(19,6)") * factor
+    average = money_ratio(F.col("value"), weight).cast(MONEY)
     return sums.select(*keys, average.alias("custo_medio"))
 
 

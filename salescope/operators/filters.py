@@ -79,6 +79,11 @@ _DIMENSIONS = {
 }
 
 
+def narrows_orders(flt: SalesFilter) -> bool:
+    """Whether a filter on channel, state or seller leaves only a part of the orders."""
+    return bool(flt.channels or flt.ufs or flt.seller_code or flt.seller_names)
+
+
 def dimension_filter(df: DataFrame, flt: SalesFilter) -> DataFrame:
     """Apply the filters that are set and whose column ``df`` has."""
     for field, column in _DIMENSIONS.items():

@@ -48,6 +48,11 @@ def orders_with_items(headers: DataFrame, items: DataFrame) -> DataFrame:
     return splittable_join(headers, keys, ["cod_pedido"], "left_semi")
 
 
+def of_orders(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """The rows whose order is among ``headers``."""
+    return splittable_join(rows, headers.select("cod_pedido"), ["cod_pedido"], "left_semi")
+
+
 def lines_of(headers: DataFrame, items: DataFrame) -> DataFrame:
     """Headers LEFT items: one row per line, one for an order without lines.
 

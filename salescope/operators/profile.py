@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from salescope.functions.dates import month_of
-from salescope.functions.numeric import MONEY, money_ratio
+from salescope.functions.numeric import AMOUNT, MONEY, money_ratio
 
 
 def client_profile(orders: DataFrame, items: DataFrame, as_of: date) -> DataFrame:
@@ -28,7 +28,7 @@ def client_profile(orders: DataFrame, items: DataFrame, as_of: date) -> DataFram
     spans = months.groupBy("Cod_Cliente").agg(
         F.count("m").alias("n"), F.min("m").alias("first"), F.max("m").alias("last")
     )
-    total = F.coalesce(F.col("total"), F.lit(0)).cast(MONEY)
+    total = F.coalesce(F.col("total"), F.lit(0)).cast(AMOUNT)
     return spans.join(money, "Cod_Cliente", "left").select(
         "Cod_Cliente",
         _months_between(F.col("last"), F.lit(as_of)).alias("Recencia"),

@@ -7,16 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from salescope.functions.dates import month_of
-from salescope.functions.numeric import as_double, double_ratio, markup_pct, money_ratio
+from salescope.functions.numeric import MONEY, as_double, double_ratio, markup_pct, money_ratio
 from salescope.operators.cost import cmv_legacy, cmv_unit_cost, with_unit_cost
-from salescope.operators.filters import SalesFilter, sales_filter
-from salescope.operators.lines import filtered_headers, lines_of
+from salescope.operators.filters import SalesFilter, narrows_orders, sales_filter
+from salescope.operators.lines import filtered_headers, lines_of, of_orders
 from salescope.sources.mart import SalesMart
 
 
-def _lines(mart: SalesMart, flt: SalesFilter, check_origin: bool) -> DataFrame:
+def _headers(mart: SalesMart, flt: SalesFilter, check_origin: bool) -> DataFrame:
     orders = sales_filter(mart.pedidos, flt.start, flt.end, check_origin)
-    headers = filtered_headers(mart, orders, flt, company_columns=False)
+    return filtered_headers(mart, orders, flt, company_columns=False)
+
+
+def _lines(headers: DataFrame, mart: SalesMart) -> DataFrame:
     lines = lines_of(headers, mart.item_pedidos)
     return lines.withColumn("mes_ref", month_of(F.col("dt_faturamento")))
 
@@ -28,14 +31,16 @@ def brand_performance(mart: SalesMart, flt: SalesFilter) -> DataFrame:
     once per brand found in its costs. The costs are reduced to (sum, number of
     brands) first: the join stays one to one and the number becomes a weight.
     """
-    costs = cmv_unit_cost(
-        mart.varejo_cmv, mart.pedidos_salao, mart.bonificacao, mart.varejo_marca, flt.months
-    )
+    headers = _headers(mart, flt, check_origin=True)
+    retail, salon = mart.varejo_cmv, mart.pedidos_salao
+    if narrows_orders(flt):
+        retail, salon = of_orders(retail, headers), of_orders(salon, headers)
+    costs = cmv_unit_cost(retail, salon, mart.bonificacao, mart.varejo_marca, flt.months)
     per_product = costs.groupBy("cod_pedido", "cod_produto", "mes_ref").agg(
-        F.sum("custo_medio").cast("decimal(18,2)").alias("custo_medio"),
+        F.sum("custo_medio").cast(MONEY).alias("custo_medio"),
         F.count(F.lit(1)).alias("copies"),
     )
-    lines = with_unit_cost(_lines(mart, flt, check_origin=True), per_product)
+    lines = with_unit_cost(_lines(headers, mart), per_product)
     copies = F.coalesce(F.col("copies"), F.lit(1))
     net = F.sum(F.col("preco_desconto_rateado") * copies)
     return _by_brand(
@@ -54,7 +59,10 @@ def brand_performance(mart: SalesMart, flt: SalesFilter) -> DataFrame:
 def brand_performance_legacy(mart: SalesMart, flt: SalesFilter) -> DataFrame:
     """Older rule: cost without factor or month, any order system, fewer columns."""
     flt = flt.but(seller_names=())
-    lines = with_unit_cost(_lines(mart, flt, check_origin=False), cmv_legacy(mart.varejo_cmv))
+    headers = _headers(mart, flt, check_origin=False)
+    # These costs have no date: without the orders of the period all history would be read.
+    costs = cmv_legacy(of_orders(mart.varejo_cmv, headers))
+    lines = with_unit_cost(_lines(headers, mart), costs)
     net = F.sum("preco_desconto_rateado")
     return _by_brand(
         lines,
@@ -69,7 +77,7 @@ def brand_performance_legacy(mart: SalesMart, flt: SalesFilter) -> DataFrame:
 
 
 def _by_brand(lines: DataFrame, measures: dict, net) -> DataFrame:
-    cost = F.coalesce(F.col("custo_medio"), F.lit(0).cast("decimal(18,2)")) * F.col("qtd")
+    cost = F.coalesce(F.col("custo_medio"), F.lit(0).cast(MONEY)) * F.col("qtd")
     named = [c.alias(n) for n, c in measures.items()]
     sums = lines.groupBy("marca").agg(*named, net.alias("net"), F.sum(cost).alias("cost"))
     result = sums.select(

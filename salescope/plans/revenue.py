@@ -15,9 +15,11 @@ from salescope.operators.filters import (
     dimension_filter,
     in_months,
     in_period,
+    narrows_orders,
     valid_sale,
 )
-from salescope.operators.lines import order_headers, orders_with_items, sold_lines
+from salescope.operators.joins import splittable_join
+from salescope.operators.lines import of_orders, order_headers, orders_with_items, sold_lines
 from salescope.sources.mart import SalesMart
 
 MEASURES = [
@@ -76,11 +78,13 @@ def _monthly(mart: SalesMart, flt: SalesFilter, legacy: bool = False) -> DataFra
         F.col("cod_colaborador_atual").alias("cod_colaborador"),
     )
     items = dimension_filter(mart.item_pedidos, flt)
-    costs = cmv_unit_cost(mart.varejo_cmv, mart.pedidos_salao, mart.bonificacao, months=flt.months)
+    retail, salon = mart.varejo_cmv, mart.pedidos_salao
+    if narrows_orders(flt):  # costs meet lines on the order: those of others play no role
+        retail, salon = of_orders(retail, headers), of_orders(salon, headers)
+    costs = cmv_unit_cost(retail, salon, mart.bonificacao, months=flt.months)
     lines = with_unit_cost(sold_lines(headers.drop("cpfcnpj"), items), costs)
 
-    sales = headers.filter("is_sale")
-    heads = _order_counts(orders_with_items(sales, items) if flt.brands else sales, keys)
+    heads = _order_counts(orders_with_items(headers, items) if flt.brands else headers, keys)
     sums = _line_sums(lines, mart.bonificacao.filter(in_months("mes_ref", flt.months)), keys)
     parts = heads.unionByName(sums, allowMissingColumns=True)
     # A measure comes from one part, the bonus from one row per factor.
@@ -90,14 +94,18 @@ def _monthly(mart: SalesMart, flt: SalesFilter, legacy: bool = False) -> DataFra
 
 
 def _order_counts(headers: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct clients and orders, counted on the orders.
+    """Distinct clients and orders of sales, and whether there is a bonus order.
+
+    Both come from the orders, so a bonus order without items shows up as well.
 
     Products and brands are counted on reduced line sums. Counting all four on
     the lines would copy every line once per distinct count.
     """
+    is_sale = F.col("is_sale")
     return headers.groupBy(*keys).agg(
-        F.countDistinct("cpfcnpj").alias("positivacao"),
-        F.countDistinct("cod_pedido").alias("qtd_pedido"),
+        F.countDistinct(F.when(is_sale, F.col("cpfcnpj"))).alias("positivacao"),
+        F.countDistinct(F.when(is_sale, F.col("cod_pedido"))).alias("qtd_pedido"),
+        F.max(~is_sale).alias("has_bonus"),
     )
 
 
@@ -122,7 +130,7 @@ def _line_sums(lines: DataFrame, factors: DataFrame, keys: list[str]) -> DataFra
         F.sum(qty).alias("itens"),
     )
     per_factor = (
-        reduced.join(factor_counts(factors), ["cod_empresa", "mes_ref"], "left")
+        splittable_join(reduced, factor_counts(factors), ["cod_empresa", "mes_ref"], "left")
         .groupBy(*keys, "is_sale", "fator")
         .agg(
             F.sum(repeated(F.col("bruto"))).alias("bruto"),
@@ -153,20 +161,21 @@ def _bonus_by_code(merged: DataFrame) -> DataFrame:
     """Give each seller row the bonus of every name its code has in that month.
 
     Bonus meets revenue on month and code without the name, so two names of one
-    code see each other's bonus. A window holds the names of one code only.
+    code see each other's bonus. A bonus without a value, from an order without
+    items, still makes a row. A window holds the names of one code only.
     """
     same_code = Window.partitionBy("mes_ref", "cod_colaborador")
-    found = F.collect_list("bonus").over(same_code)
+    found = F.collect_list(F.when(F.col("has_bonus"), F.struct("bonus"))).over(same_code)
     return merged.withColumn("found", found).select(
-        *[c for c in merged.columns if c != "bonus"], F.explode_outer("found").alias("bonus")
-    )
+        *[c for c in merged.columns if c != "bonus"], F.explode_outer("found").alias("of_name")
+    ).withColumn("bonus", F.col("of_name.bonus"))
 
 
 def _with_ratios(merged: DataFrame, keys: list[str]) -> DataFrame:
     net, cost = F.col("faturamento_liquido"), F.col("custo_total")
     # Without a sale order there is no revenue row, whatever the bonus.
     full = (
-        merged.filter(F.col("qtd_pedido").isNotNull())
+        merged.filter(F.col("qtd_pedido") > 0)
         .na.fill(0, list(_COUNTS))
         .withColumns(
             {

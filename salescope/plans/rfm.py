@@ -25,11 +25,12 @@ def rfm_base(mart: SalesMart, flt: SalesFilter) -> DataFrame:
         profile = profile.filter(F.col("Canal_Venda").isin(*flt.channels))
     if flt.ufs:
         profile = profile.filter(F.col("uf_empresa").isin(*flt.ufs))
-    base = profile.join(
-        mart.cliente_vendedor.withColumnRenamed("cod_cliente", "Cod_Cliente"),
-        "Cod_Cliente",
-        "left",
-    )
+    sellers = mart.cliente_vendedor.withColumnRenamed("cod_cliente", "Cod_Cliente")
+    if profile.schema["Cod_Cliente"].dataType != sellers.schema["Cod_Cliente"].dataType:
+        # Sources that disagree on the code's type meet as text.
+        text = F.col("Cod_Cliente").cast("string")
+        profile, sellers = profile.withColumn("Cod_Cliente", text), sellers.withColumn("Cod_Cliente", text)
+    base = profile.join(sellers, "Cod_Cliente", "left")
     if flt.seller_code:
         base = base.filter(F.col("cod_colaborador_atual") == flt.seller_code)
     return base.select(

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DecimalType, StructField
 
-from salescope.sources.schemas import SCHEMAS
+from salescope.sources.schemas import IDENTIFIER, SCHEMAS
 
 
 class SchemaError(ValueError):
-    """A mart table, or one of its declared columns, is missing."""
+    """A mart table or a declared column is missing, or a column holds more decimals than declared."""
 
 
 class SalesMart:
@@ -66,16 +67,25 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     """Project ``df`` to the declared columns and types of ``table``.
 
     Names match without regard to case. Casts are plain column casts, so
-    comparisons on them still reach the scan as pushed filters.
+    comparisons on them still reach the scan as pushed filters. Identifiers keep
+    their type; a decimal column that a cast would round is refused.
     """
-    have = {c.lower(): c for c in df.columns}
+    have = {f.name.lower(): f for f in df.schema.fields}
     declared = SCHEMAS[table]
     absent = [name for name in declared if name.lower() not in have]
     if absent:
         raise SchemaError(f"{table}: columns missing: {', '.join(absent)}")
-    return df.select(
-        *[F.col(f"`{have[n.lower()]}`").cast(kind).alias(n) for n, kind in declared.items()]
-    )
+    return df.select(*[_declared(table, have[n.lower()], n, kind) for n, kind in declared.items()])
+
+
+def _declared(table: str, field: StructField, name: str, kind: str) -> Column:
+    column = F.col(f"`{field.name}`")
+    if kind == IDENTIFIER:
+        return column.alias(name)
+    if kind.startswith("decimal") and isinstance(field.dataType, DecimalType):
+        if field.dataType.scale > DecimalType.fromDDL(kind).scale:
+            raise SchemaError(f"{table}.{name}: {field.dataType.simpleString()} would be rounded to {kind}")
+    return column.cast(kind).alias(name)
 
 
 def load_mart(

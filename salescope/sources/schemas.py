@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from salescope.functions.numeric import AMOUNT, FACTOR
+
+#: An identifier that is only counted and compared keeps the type of its source,
+#: as leading zeros tell two codes apart.
+IDENTIFIER = "identifier"
+
 SCHEMAS: dict[str, dict[str, str]] = {
     "pedidos": {
         "cod_pedido": "bigint",
-        "cpfcnpj": "bigint",
+        "cpfcnpj": IDENTIFIER,
         "dt_faturamento": "date",
         "desc_abrev_cfop": "string",
         "operacoes_internas": "string",
@@ -14,12 +20,12 @@ SCHEMAS: dict[str, dict[str, str]] = {
     },
     "item_pedidos": {
         "cod_pedido": "bigint",
-        "cod_produto": "bigint",
+        "cod_produto": IDENTIFIER,
         "sku": "string",
         "marca": "string",
-        "qtd": "decimal(18,2)",
-        "preco_total": "decimal(18,2)",
-        "preco_desconto_rateado": "decimal(18,2)",
+        "qtd": AMOUNT,
+        "preco_total": AMOUNT,
+        "preco_desconto_rateado": AMOUNT,
     },
     "empresa_pedido": {
         "cod_pedido": "bigint",
@@ -36,15 +42,15 @@ SCHEMAS: dict[str, dict[str, str]] = {
         "mes_ref": "date",
         "cod_marca": "int",
         "marca": "string",
-        "fator": "decimal(9,4)",
+        "fator": FACTOR,
     },
     "varejo_marca": {"cod_marca": "int", "desc_abrev": "string"},
     "varejo_cmv": {
         "cod_pedido": "bigint",
         "cod_produto": "string",
         "dt_faturamento": "date",
-        "qtd": "decimal(18,2)",
-        "custo_unitario": "decimal(18,2)",
+        "qtd": AMOUNT,
+        "custo_unitario": AMOUNT,
         "cod_marca": "int",
         "cod_empresa": "string",
     },
@@ -52,21 +58,21 @@ SCHEMAS: dict[str, dict[str, str]] = {
         "cod_pedido": "bigint",
         "codprod": "string",
         "dtvenda": "date",
-        "quant": "decimal(18,2)",
-        "custo": "decimal(18,2)",
+        "quant": AMOUNT,
+        "custo": AMOUNT,
         "categoria": "string",
     },
     "perfil_cliente": {
-        "Cod_Cliente": "bigint",
+        "Cod_Cliente": IDENTIFIER,
         "Nome_Cliente": "string",
         "uf_empresa": "string",
         "Canal_Venda": "string",
         "Recencia": "int",
         "Positivacao": "int",
-        "Monetario": "decimal(18,2)",
-        "ticket_medio_posit": "decimal(18,2)",
+        "Monetario": AMOUNT,
+        "ticket_medio_posit": AMOUNT,
         "Maior_Mes": "date",
         "Ciclo_Vida": "int",
     },
-    "cliente_vendedor": {"cod_cliente": "bigint", "cod_colaborador_atual": "string"},
+    "cliente_vendedor": {"cod_cliente": IDENTIFIER, "cod_colaborador_atual": "string"},
 }

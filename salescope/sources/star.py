@@ -10,20 +10,15 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from salescope.functions.dates import month_starts
+from salescope.functions.dates import month_of, month_starts
 from salescope.functions.numeric import FACTOR
 from salescope.operators.joins import splittable_join
 from salescope.operators.profile import client_profile
 from salescope.sources.mart import SalesMart
 
-# Fixed values of the mapping: they hold at every scale factor.
-N_SELLERS = 10
-FIRST_FACTOR_MONTH = date(1995, 1, 1)
-LAST_FACTOR_MONTH = date(2001, 8, 1)
+# Fixed value of the mapping: it holds at every scale factor.
 PROFILE_AS_OF = date(2001, 8, 1)
 
-
-
 # The star columns in use. Declared, so that opening a table reads no file.
 STAR = {
     "region": "r_regionkey int, r_name string",
@@ -58,7 +53,9 @@ def mart_from_star(spark: SparkSession, sf_dir: str, as_of: date = PROFILE_AS_OF
             "empresa_pedido": lambda: _companies(
                 table("orders"), place(), table("region"), table("supplier")
             ),
-            "bonificacao": lambda: _factors(table("part"), table("region")),
+            "bonificacao": lambda: _factors(
+                table("part"), table("region"), table("orders")
+            ),
             "varejo_marca": lambda: _brand_names(table("part")),
             "varejo_cmv": lambda: _retail_costs(
                 table("lineitem"), table("part"), table("orders"), place()
@@ -67,7 +64,7 @@ def mart_from_star(spark: SparkSession, sf_dir: str, as_of: date = PROFILE_AS_OF
                 table("lineitem"), table("part"), table("orders")
             ),
             "perfil_cliente": lambda: _profile(pedidos(), order_items(), place(), as_of),
-            "cliente_vendedor": lambda: _client_sellers(table("customer")),
+            "cliente_vendedor": lambda: _client_sellers(table("customer"), table("supplier")),
         },
         # _companies() makes one row per row of orders.
         one_company_per_order=True,
@@ -78,10 +75,16 @@ def _client_place(customer: DataFrame, nation: DataFrame) -> DataFrame:
     return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
 
 
-def _client_sellers(customer: DataFrame) -> DataFrame:
+def _seller_of(key: str, supplier: DataFrame) -> Column:
+    """Suppliers are numbered from 0; a key belongs to the one of its remainder."""
+    n = supplier.agg(F.count(F.lit(1))).scalar()
+    return F.col(key) % F.nullif(n, F.lit(0))
+
+
+def _client_sellers(customer: DataFrame, supplier: DataFrame) -> DataFrame:
     return customer.select(
         F.col("c_custkey").alias("cod_cliente"),
-        (F.col("c_custkey") % N_SELLERS).cast("string").alias("cod_colaborador_atual"),
+        _seller_of("c_custkey", supplier).cast("string").alias("cod_colaborador_atual"),
     )
 
 
@@ -147,13 +150,10 @@ def _items(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 def _companies(
     orders: DataFrame, client_place: DataFrame, region: DataFrame, supplier: DataFrame
 ) -> DataFrame:
-    # Bounded by its filter: s_suppkey is unique, so at most N_SELLERS rows.
-    sellers = F.broadcast(
-        supplier.filter(F.col("s_suppkey").between(0, N_SELLERS - 1)).select("s_suppkey", "s_name")
-    )
-    seller = F.col("o_orderkey") % N_SELLERS
+    sellers = supplier.select("s_suppkey", "s_name")
+    seller = F.col("seller")
     return (
-        orders.select("o_orderkey", "o_custkey")
+        orders.select("o_orderkey", "o_custkey", _seller_of("o_orderkey", supplier).alias("seller"))
         .join(client_place, F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
         .join(sellers, seller == F.col("s_suppkey"), "left")
@@ -174,11 +174,13 @@ def _brands(part: DataFrame) -> DataFrame:
     return part.select("p_brand").distinct().withColumn("cod_marca", _brand_code(F.col("p_brand")))
 
 
-def _factors(part: DataFrame, region: DataFrame) -> DataFrame:
+def _factors(part: DataFrame, region: DataFrame, orders: DataFrame) -> DataFrame:
     code = F.col("cod_marca")
     name = F.upper("p_brand")
     factor = F.when(code % 7 != 0, F.lit(1) + (code % 4) * F.lit(0.25).cast("decimal(3,2)"))
-    months = month_starts(F.lit(FIRST_FACTOR_MONTH), F.lit(LAST_FACTOR_MONTH))
+    day = F.col("o_orderdate").cast("date")
+    first, last = month_of(F.min(day)), month_of(F.max(day))
+    months = orders.agg(month_starts(first, last).alias("months")).scalar()
     return (
         _brands(part)
         .join(region, code % 5 == F.col("r_regionkey"))

@@ -8,9 +8,10 @@ from decimal import Decimal
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from salescope.functions.numeric import AMOUNT, FACTOR
 from salescope.operators.filters import SalesFilter
 from salescope.sources.mart import SalesMart
-from salescope.sources.schemas import SCHEMAS
+from salescope.sources.schemas import IDENTIFIER, SCHEMAS
 
 PERIOD = SalesFilter(date(2024, 1, 1), date(2024, 3, 31))
 
@@ -28,8 +29,9 @@ ARROW = {
     "int": pa.int32(),
     "date": pa.date32(),
     "string": pa.string(),
-    "decimal(18,2)": pa.decimal128(18, 2),
-    "decimal(9,4)": pa.decimal128(9, 4),
+    AMOUNT: pa.decimal128(18, 6),
+    FACTOR: pa.decimal128(18, 8),
+    IDENTIFIER: pa.int64(),
 }
 
 

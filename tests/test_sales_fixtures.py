@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 from fixtures import PERIOD, company, d, dec, item, mart_of, order, rows, table
 
+from pyspark.sql import functions as F
+
 from salescope.operators import cost
 from salescope.operators.bonus import bonus_lines, bonus_value
 from salescope.operators.filters import SalesFilter, sales_filter
@@ -258,6 +260,54 @@ def test_bonus_meets_revenue_by_code_whatever_the_name(spark):
     assert rows(revenue.monthly_revenue(m, PERIOD), "valor_bonificacao") == [(21.0,)]
 
 
+def test_bonus_order_without_items_repeats_the_revenue_of_its_code(spark):
+    m = sales(
+        spark,
+        pedidos=[
+            order(1), order(2), order(3, cfop="BONIFICADO"), order(4, cfop="BONIFICADO")
+        ],
+        item_pedidos=[item(1, gross=50), item(2, gross=20), item(3, gross=7)],
+        empresa_pedido=[company(1), company(2, name="Bia"), company(3), company(4, name="Bia")],
+        bonificacao=[],
+    )
+    got = rows(
+        revenue.monthly_revenue(m, PERIOD.but(seller_code="1")),
+        "vendedor", "faturamento_bruto", "valor_bonificacao",
+    )
+    assert sorted(got) == [
+        ("Ana", 50.0, 0.0), ("Ana", 50.0, 7.0), ("Bia", 20.0, 0.0), ("Bia", 20.0, 7.0)
+    ]
+
+
+def test_amounts_keep_their_decimals_until_the_sum(spark):
+    lines = [item(1, product=p, gross="0.004") for p in range(10)]
+    m = sales(spark, pedidos=[order(1)], item_pedidos=lines, empresa_pedido=[company(1)])
+    assert rows(revenue.monthly_revenue(m, PERIOD), "faturamento_bruto") == [(0.04,)]
+
+
+def test_factor_keeps_its_decimals(spark):
+    got = bonus(spark, [factor(value="1.23456789")], items=[item(1, gross=1000000)])
+    assert got == [(JAN, dec("810000.01"))]
+
+
+def test_decimals_beyond_the_declared_ones_are_refused(spark):
+    df = spark.sql(
+        "select 1 as cod_empresa, date'2024-01-01' as mes_ref, 1 as cod_marca, 'X' as marca, "
+        "cast(1.2 as decimal(20,9)) as fator"
+    )
+    with pytest.raises(SchemaError, match="fator"):
+        conform(df, "bonificacao")
+
+
+def test_text_codes_with_leading_zeros_are_different_clients(spark):
+    m = sales(spark, pedidos=[order(1), order(2)], empresa_pedido=[company(1), company(2)])
+    orders = m.pedidos.withColumn(
+        "cpfcnpj", F.when(F.col("cod_pedido") == 1, "00012345678901").otherwise("12.345.678/901")
+    )
+    m = SalesMart({**m._sources, "pedidos": lambda: orders})
+    assert rows(revenue.monthly_revenue(m, PERIOD), "positivacao")[0] == (2,)
+
+
 def test_bonus_without_any_sale_gives_no_revenue_row(spark):
     m = sales(spark, pedidos=[order(1, cfop="BONIFICADO")])
     assert rows(revenue.monthly_revenue(m, PERIOD)) == []
