@@ -281,6 +281,22 @@ def test_contamination_against_brute_force(spark, monkeypatch, block_words):
     assert [tuple(r)[1:] for r in got.collect()] == brute_hits(texts, its)
 
 
+def test_cut_is_the_same_with_several_automata_and_leaves_no_window(spark, monkeypatch):
+    one, two = (" ".join(f"{c}{i}" for i in range(12)) for c in "qr")
+    filler = " ".join(f"f{i}" for i in range(60))
+    # Cutting the inner passage joins the halves of an outer one.
+    nested = f"{filler} {two[:20]} {one} {two[20:]} {filler}"
+    docs = spark.createDataFrame([(1, nested, "en", "s", 0), (2, filler, "en", "s", 0), (3, two, "en", "s", 0)], DOCS)
+    its = items(spark, [(1, one), (2, two)])
+    got = [tuple(r) for r in decontaminate.remove_contamination(docs, its).orderBy("doc_id").collect()]
+    assert [r[0] for r in got] == [1, 2] and "q0" not in got[0][1] and got[1][1] == filler
+    kept = spark.createDataFrame(got, DOCS)
+    assert decontaminate.contamination(kept, its).filter("contaminated").count() == 0
+    monkeypatch.setattr(decontaminate, "MAX_AUTOMATON_WORDS", 12)
+    parted = decontaminate.remove_contamination(docs, its).orderBy("doc_id")
+    assert [tuple(r) for r in parted.collect()] == got
+
+
 def test_cut_removes_only_the_passage(spark):
     item = " ".join(f"q{i}" for i in range(14))
     filler = " ".join(f"f{i}" for i in range(30))
