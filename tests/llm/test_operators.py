@@ -187,6 +187,19 @@ def test_near_duplicates_against_planted_groups(spark):
     assert order_minhash.near_duplicates(empty_docs(spark)).count() == 0
 
 
+def test_one_doc_id_in_two_groups(spark):
+    rng = random.Random(6)
+    a, b = (" ".join(f"w{rng.randint(0, 3000)}" for _ in range(200)) for _ in range(2))
+    rows = [(5, a), (9, a + " more"), (5, b), (11, b + " more"), (5, "alone"), (12, "quite other")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], DOCS)
+    kept = sorted(r["text"] for r in order_minhash.one_of_each(docs).collect())
+    assert kept == sorted([a, b, "alone", "quite other"])
+    classes = order_minhash.near_duplicates(docs).collect()
+    of = {d: {r["class_id"] for r in classes if r["doc_id"] == d} for d in (5, 9, 11, 12)}
+    assert [len(of[d]) for d in (5, 9, 11, 12)] == [3, 1, 1, 1]
+    assert of[9] < of[5] and of[11] < of[5] and of[9] != of[11] and 5 in of[5] and of[12] == {12}
+
+
 # Nearest neighbours
 
 
