@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import zlib
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -16,8 +17,8 @@ from tokenizers import Tokenizer
 
 from salescope.llm import decontaminate, license_scan, line_spread, nn_descent, order_minhash, packing
 from salescope.llm import quality, queries, sql, token_frames, toxicity, warc
-from salescope.llm.alignment import banded_distance
-from salescope.llm.common import table, word_list
+from salescope.llm.alignment import banded_distance, similar
+from salescope.llm.common import table, word_hashes, word_list
 from salescope.llm.tokens import PieceIds
 
 SF = "/root/testdata/sf0.001"
@@ -187,6 +188,26 @@ def test_near_duplicates_against_planted_groups(spark):
     assert order_minhash.near_duplicates(empty_docs(spark)).count() == 0
 
 
+def test_classes_of_a_family_are_those_of_all_pairs(spark):
+    rng = random.Random(7)
+    base, texts = [f"w{rng.randint(0, 3000)}" for _ in range(120)], []
+    for _ in range(250):
+        words = list(base)
+        for at in rng.sample(range(120), 11):
+            words[at] = f"n{rng.randint(0, 10**6)}"
+        texts.append(" ".join(words))
+    hashes = [word_hashes(t) for t in texts]
+    sketches = np.array([order_minhash.sketch(h) for h in hashes])
+    want = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if want[a] != want[b] and (sketches[a] == sketches[b]).sum() >= order_minhash.MIN_SHARED:
+            if similar(hashes[a].astype("<u4"), hashes[b].astype("<u4"), order_minhash.SIMILARITY):
+                low, high = sorted((want[a], want[b]))
+                want = [low if x == high else x for x in want]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert dict(rows_of(order_minhash.near_duplicates(docs))) == dict(enumerate(want))
+
+
 def test_one_doc_id_in_two_groups(spark):
     rng = random.Random(6)
     a, b = (" ".join(f"w{rng.randint(0, 3000)}" for _ in range(200)) for _ in range(2))
