@@ -120,6 +120,19 @@ def test_classifier_on_held_out_rows(spark, operator, label):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % divisor == out) for r in got)
 
 
+def test_toxic_held_out_rows_are_found(spark):
+    d = "/root/testdata/sf0.1"
+    got = toxicity.toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels")).filter("held_out")
+    known = table(spark, d, "labels").filter("toxic is not null").select("doc_id", "toxic")
+    lang = table(spark, d, "documents").select("doc_id", "lang")
+    rows = got.join(known, "doc_id").join(lang, "doc_id").collect()
+    found = {x: [r["predicted"] for r in rows if r["toxic"] == 1 and r["lang"] == x] for x in ("en", "de", "es", "fr")}
+    wrong = [r["predicted"] for r in rows if r["toxic"] == 0]
+    print({x: (sum(v), len(v)) for x, v in found.items()}, sum(wrong), len(wrong))
+    assert sum(map(sum, found.values())) / sum(map(len, found.values())) >= 0.7
+    assert all(np.mean(found[x]) >= 0.4 for x in ("en", "de", "fr")) and np.mean(wrong) <= 0.01
+
+
 @pytest.mark.parametrize("operator", [quality.quality_scores, toxicity.toxicity_scores])
 def test_classifier_odd_rows(spark, operator):
     docs = odd_docs(spark)
