@@ -27,6 +27,11 @@ def money_ratio(num: Column, den: Column) -> Column:
     return F.round(ratio(num, den), 2)
 
 
+def exact_money_ratio(num: Column, den: Column) -> Column:
+    """``num / den`` in cents, with 12 decimals of ``num`` and 14 of ``den`` kept up to the division."""
+    return F.round(F.try_divide(num.cast("decimal(26,12)"), den.cast("decimal(26,14)")), 2)
+
+
 def double_ratio(num: Column, den: Column) -> Column:
     """Unrounded ratio for percentages and averages, NULL on a zero base."""
     return F.try_divide(num.cast("double"), den.cast("double"))

@@ -7,34 +7,40 @@ factor, and those averages add up.
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from salescope.functions.dates import month_of
-from salescope.functions.numeric import FACTOR, MONEY, money_ratio
+from salescope.functions.numeric import FACTOR, MONEY, exact_money_ratio
 from salescope.functions.text import brand_key, category_prefix
-from salescope.operators.filters import in_months
+from salescope.operators.filters import Months, in_months
 from salescope.operators.joins import splittable_join
 
-Months = tuple[date, date] | None
-
-
 def _weighted(rows: DataFrame, keys: list[str], qty: str, cost: str) -> DataFrame:
     """Quantity-weighted average of ``cost`` per key and factor.
 
     ``n`` tells how many equal factor rows a cost row met; it enters as a
     weight, so the join itself need not repeat the row.
     """
-    n = F.coalesce(F.col("n"), F.lit(1))
     factor = F.coalesce(F.col("fator"), F.lit(1)).cast(FACTOR)
     sums = rows.groupBy(*keys, "fator").agg(
-        F.sum(F.col(qty) * F.col(cost) * n).alias("value"), F.sum(F.col(qty) * n).alias("weight")
+        F.sum(weighted_product(qty, cost)).alias("value"), F.sum(_weight(qty)).alias("weight")
     )
-    # The operand types keep all decimals of the product.
-    weight = F.col("weight").cast("decimal(19,6)") * factor
-    average = money_ratio(F.col("value"), weight).cast(MONEY)
-    return sums.select(*keys, average.alias("custo_medio"))
+    average = exact_money_ratio(F.col("value"), F.col("weight").cast("decimal(19,6)") * factor)
+    return sums.select(*keys, average.cast(MONEY).alias("custo_medio"))
+
+
+def _weight(qty: str) -> Column:
+    n = F.coalesce(F.col("n"), F.lit(1)).cast("decimal(6,0)")
+    return (F.col(qty) * n).cast("decimal(19,6)")
+
+
+def weighted_product(qty: str, cost: str) -> Column:
+    """Quantity times ``n`` times cost with all twelve decimals.
+
+    A product of three decimals as they come has a result type of six decimals;
+    the weight's own type leaves room for all.
+    """
+    return _weight(qty) * F.col(cost)
 
 
 def cmv_retail(
@@ -123,7 +129,7 @@ def cmv_unit_cost(
 
 def cmv_legacy(cmv: DataFrame) -> DataFrame:
     """Older rule: retail only, no factor, no month."""
-    average = money_ratio(F.sum(F.col("qtd") * F.col("custo_unitario")), F.sum("qtd"))
+    average = exact_money_ratio(F.sum(F.col("qtd") * F.col("custo_unitario")), F.sum("qtd"))
     return cmv.groupBy("cod_pedido", "cod_produto").agg(average.cast(MONEY).alias("custo_medio"))
 
 

@@ -63,12 +63,17 @@ def in_period(column: str, start: date, end: date) -> Column:
     return F.col(column).between(F.lit(start), F.lit(end))
 
 
-def in_months(column: str, months: tuple[date, date] | None) -> Column:
+#: First days of the first and the last month; columns where they are known at run time only.
+Months = tuple[date | Column, date | Column] | None
+
+
+def in_months(column: str, months: Months) -> Column:
     """Dates within whole months, as a plain range so that it reaches the scan."""
     if months is None:
         return F.lit(True)
     lo, hi = months
-    return (F.col(column) >= F.lit(lo)) & (F.col(column) < F.lit(shift_months(hi, 1)))
+    after = F.add_months(hi, 1) if isinstance(hi, Column) else F.lit(shift_months(hi, 1))
+    return (F.col(column) >= (lo if isinstance(lo, Column) else F.lit(lo))) & (F.col(column) < after)
 
 
 _DIMENSIONS = {

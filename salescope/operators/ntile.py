@@ -4,46 +4,83 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from salescope.sources.shared import written
+#: About so many ranges; a range is what one task sorts.
+RANGES = 1024
+_STEPS = 11  # halvings that find a place among RANGES bounds
+_KEY, _RANGE = "_ntile_key", "_ntile_range"
 
-_POS = "_pos"
-# monotonically_increasing_id keeps the row's number within its partition in
-# the low 33 bits and the partition's number above them.
-_ROW_BITS = 33
 
+def with_ntile(
+    df: DataFrame, k: int, order: Sequence[Column], name: str, ranges: int = RANGES
+) -> DataFrame:
+    """Add ``name`` = NTILE(k) over ``order``: ascending, NULL first, and a total order.
 
-def with_ntile(df: DataFrame, k: int, order: Sequence[Column], name: str) -> DataFrame:
-    """Add ``name`` = NTILE(k) over ``order``, which must be a total order.
+    Lazy: building it starts no job. The rows are shuffled once; two scalar
+    subqueries read that shuffle again. They give the keys of up to ``ranges``
+    rows picked by a hash, sorted, as bounds, and the number of rows below each
+    range. A row's place is that number and its own number within its range,
+    and place and total give the bucket.
 
-    The rows are range-sorted once and written with their position. As
-    ``order`` includes the tie-breaking columns, rows that share one value are
-    still spread over many partitions. Only the row count of each partition
-    reaches the driver; from these follow the positions at which a bucket
-    starts, and the bucket is the number of such positions a row has passed.
+    Exact whatever the bounds are; the pick depends on the rows alone, so the
+    subqueries agree with each other. As the key holds the tie-breaking columns,
+    rows that share one value still spread over many ranges.
     """
-    stamped = df.orderBy(*order).withColumn(_POS, F.monotonically_increasing_id())
-    rows = written(stamped, "ntile")
-    part = F.shiftright(_POS, _ROW_BITS)
-    counts = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
-    starts = bucket_starts(sorted((r["part"], r["n"]) for r in counts), k)
-    bucket = F.lit(1)
-    for start in starts:
-        bucket = bucket + (F.col(_POS) >= F.lit(start)).cast("int")
-    return rows.withColumn(name, bucket).drop(_POS)
+    hashed = F.xxhash64(*df.columns)
+    # Hashing every column keeps the shuffle the same for all that read it.
+    rows = df.repartition(hashed).withColumns(
+        {_KEY: F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)]), "_ntile_hash": hashed}
+    )
+    least = F.min(F.struct("_ntile_hash", _KEY))
+    picked = rows.groupBy(F.pmod("_ntile_hash", F.lit(ranges)).alias("part")).agg(least.alias("least"))
+    bounds = picked.agg(F.array_sort(F.collect_list(f"least.{_KEY}"))).scalar()
+    # A column of its own, as a lambda may not hold a subquery.
+    rows = rows.drop("_ntile_hash").withColumn("_ntile_bounds", bounds)
+    rows = rows.withColumn(_RANGE, _below(F.col("_ntile_bounds"), F.col(_KEY))).drop("_ntile_bounds")
+    counts = rows.groupBy(_RANGE).agg(F.count(F.lit(1)).alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct(_RANGE, "n")))
+    before = counts.agg(listed.alias("counts")).select(_running(F.col("counts"))).scalar()
 
+    total = F.element_at(before, -1)
+    within = F.row_number().over(Window.partitionBy(_RANGE).orderBy(_KEY))
+    place = F.get(before, F.col(_RANGE)) + F.col("_ntile_row") - 1
+    size, extra = F.floor(total / F.lit(k)).cast("long"), total % k
+    large = extra * (size + 1)  # rows of the first buckets, which hold one more
+    bucket = F.when(place < large, F.floor(place / (size + 1))).otherwise(
+        extra + F.floor(F.try_divide(place - large, size))
+    )
+    return rows.withColumn("_ntile_row", within).withColumn(name, (bucket + 1).cast("int")).drop(
+        _KEY, _RANGE, "_ntile_row"
+    )
 
-def bucket_starts(counts: Sequence[tuple[int, int]], k: int) -> list[int]:
-    """Position of the first row of buckets 2..k, as far as they are not empty.
 
-    The first ``total mod k`` buckets hold one row more than the others.
-    """
-    total = sum(n for _, n in counts)
-    size, extra = divmod(total, k)
-    firsts = [b * size + min(b, extra) for b in range(1, k)]
-    starts, before = [], 0
-    for part, n in counts:
-        starts += [(part << _ROW_BITS) + f - before for f in firsts if before <= f < before + n]
-        before += n
-    return starts
+def _below(bounds: Column, key: Column) -> Column:
+    """How many of the sorted ``bounds`` are less than ``key``, by halving."""
+
+    def halve(state: Column, _: Column) -> Column:
+        lo, hi = state["lo"], state["hi"]
+        mid = F.floor((lo + hi) / 2).cast("int")
+        less = F.get(bounds, mid) < key
+        return F.when(lo >= hi, state).otherwise(
+            F.struct(
+                F.when(less, mid + 1).otherwise(lo).alias("lo"),
+                F.when(less, hi).otherwise(mid).alias("hi"),
+            )
+        )
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), start, halve, lambda s: s["lo"])
+
+
+def _running(counts: Column) -> Column:
+    """Rows below each range, at the range's index, and last all rows; from (range, rows) in order."""
+
+    def add(state: Column, c: Column) -> Column:
+        held = state["before"]
+        # Ranges without rows get an entry too, so that the index is the range.
+        entries = F.array_repeat(state["n"], c[_RANGE] + 1 - F.size(held))
+        return F.struct((state["n"] + c["n"]).alias("n"), F.concat(held, entries).alias("before"))
+
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("before"))
+    return F.aggregate(counts, start, add, lambda s: F.concat(s["before"], F.array(s["n"])))

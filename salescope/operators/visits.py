@@ -42,8 +42,8 @@ INACTIVE_AFTER = 180
 class StatusCalendar:
     """Months the client status knows and the day it is asked for.
 
-    Recovered, reactivated, retained and base are only reported from
-    ``status_floor`` on.
+    Recovered, reactivated, retained and base are only reported for months that
+    begin on ``status_floor`` or later.
     """
 
     anchor: date
@@ -55,6 +55,12 @@ class StatusCalendar:
     def first(self) -> date:
         return shift_months(self.anchor, 1 - self.n_months)
 
+    @property
+    def floor(self) -> date:
+        """The first month start that is not before ``status_floor`` nor the calendar."""
+        day = self.status_floor
+        return max(day if day.day == 1 else shift_months(day, 1), self.first)
+
     def reported(self, flt: SalesFilter) -> tuple[date, date]:
         lo, hi = flt.months
         return max(lo, self.first), min(hi, first_day(self.anchor), first_day(self.as_of))
@@ -90,7 +96,7 @@ def client_events(dates: DataFrame, cal: StatusCalendar) -> DataFrame:
         F.lag(day).over(by_client).alias("previous"),
         F.lead(day).over(by_client).alias("next"),
     )
-    floor = F.lit(max(first_day(cal.status_floor), cal.first))
+    floor = F.lit(cal.floor)
     # Months of the visit's own event, of churn and of the base, told apart by position.
     months = F.concat(F.array(_activity_month(floor), _churn_month(cal)), _base_months(cal, floor))
     status = F.when(F.col("pos") == 0, F.col("activity")).when(F.col("pos") == 1, CHURN)

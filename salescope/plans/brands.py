@@ -4,24 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from salescope.functions.dates import month_of
 from salescope.functions.numeric import MONEY, as_double, double_ratio, markup_pct, money_ratio
 from salescope.operators.cost import cmv_legacy, cmv_unit_cost, with_unit_cost
 from salescope.operators.filters import SalesFilter, narrows_orders, sales_filter
-from salescope.operators.lines import filtered_headers, lines_of, of_orders
+from salescope.operators.lines import filtered_headers, of_orders, sold_lines
 from salescope.sources.mart import SalesMart
 
 
 def _headers(mart: SalesMart, flt: SalesFilter, check_origin: bool) -> DataFrame:
     orders = sales_filter(mart.pedidos, flt.start, flt.end, check_origin)
-    return filtered_headers(mart, orders, flt, company_columns=False)
-
-
-def _lines(headers: DataFrame, mart: SalesMart) -> DataFrame:
-    lines = lines_of(headers, mart.item_pedidos)
-    return lines.withColumn("mes_ref", month_of(F.col("dt_faturamento")))
+    headers = filtered_headers(mart, orders, flt, company_columns=False)
+    return headers.withColumn("mes_ref", month_of(F.col("dt_faturamento")))
 
 
 def brand_performance(mart: SalesMart, flt: SalesFilter) -> DataFrame:
@@ -40,19 +36,17 @@ def brand_performance(mart: SalesMart, flt: SalesFilter) -> DataFrame:
         F.sum("custo_medio").cast(MONEY).alias("custo_medio"),
         F.count(F.lit(1)).alias("copies"),
     )
-    lines = with_unit_cost(_lines(headers, mart), per_product)
+    lines = with_unit_cost(_sold(headers, mart), per_product)
     copies = F.coalesce(F.col("copies"), F.lit(1))
-    net = F.sum(F.col("preco_desconto_rateado") * copies)
-    return _by_brand(
+    rows = _by_brand(
+        _brand_counts(headers, mart),
         lines,
-        {
-            "faturamento": F.round(net, 2),
-            "clientes_unicos": F.countDistinct("cpfcnpj"),
-            "qtd_pedido": F.countDistinct("cod_pedido"),
-            "qtd_itens": F.sum(F.col("qtd") * copies),
-            "qtd_sku": F.countDistinct("cod_produto"),
-        },
-        net,
+        net=F.col("preco_desconto_rateado") * copies,
+        quantity=F.col("qtd") * copies,
+    )
+    return _with_ratios(
+        rows.withColumn("faturamento", F.round("net", 2)),
+        ["faturamento", "clientes_unicos", "qtd_pedido", "qtd_itens", "qtd_sku"],
     )
 
 
@@ -62,25 +56,55 @@ def brand_performance_legacy(mart: SalesMart, flt: SalesFilter) -> DataFrame:
     headers = _headers(mart, flt, check_origin=False)
     # These costs have no date: without the orders of the period all history would be read.
     costs = cmv_legacy(of_orders(mart.varejo_cmv, headers))
-    lines = with_unit_cost(_lines(headers, mart), costs)
-    net = F.sum("preco_desconto_rateado")
-    return _by_brand(
-        lines,
-        {
-            "clientes_unicos": F.countDistinct("cpfcnpj"),
-            "faturamento": net,
-            "qtd_pedido": F.countDistinct("cod_pedido"),
-            "qtd_sku": F.countDistinct("cod_produto"),
-        },
-        net,
-    ).drop("Ticket_Medio_Pedidos")
+    rows = _by_brand(
+        _brand_counts(headers, mart),
+        with_unit_cost(_sold(headers, mart), costs),
+        net=F.col("preco_desconto_rateado"),
+        quantity=F.col("qtd"),
+    )
+    measures = ["clientes_unicos", "faturamento", "qtd_pedido", "qtd_sku"]
+    return _with_ratios(rows.withColumn("faturamento", F.col("net")), measures).drop("Ticket_Medio_Pedidos")
+
+
+def _sold(headers: DataFrame, mart: SalesMart) -> DataFrame:
+    return sold_lines(headers.select("cod_pedido", "mes_ref"), mart.item_pedidos)
+
 
+def _brand_counts(headers: DataFrame, mart: SalesMart) -> DataFrame:
+    """Distinct clients and orders per brand, an order without items under the brand NULL.
 
-def _by_brand(lines: DataFrame, measures: dict, net) -> DataFrame:
+    Counted on (order, brand) pairs: the items are reduced to these before they
+    meet the orders, so an order joins at most one row per brand, and the join
+    keeps the orders without items too.
+    """
+    pairs = mart.item_pedidos.select("cod_pedido", "marca").distinct()
+    sold = headers.select("cod_pedido", "cpfcnpj").join(pairs, "cod_pedido", "left")
+    return sold.groupBy("marca").agg(
+        F.countDistinct("cpfcnpj").alias("clientes_unicos"),
+        F.countDistinct("cod_pedido").alias("qtd_pedido"),
+    )
+
+
+def _by_brand(counts: DataFrame, lines: DataFrame, net: Column, quantity: Column) -> DataFrame:
+    """One row per brand. Lines are summed by product first, so that products are counted as rows."""
     cost = F.coalesce(F.col("custo_medio"), F.lit(0).cast(MONEY)) * F.col("qtd")
-    named = [c.alias(n) for n, c in measures.items()]
-    sums = lines.groupBy("marca").agg(*named, net.alias("net"), F.sum(cost).alias("cost"))
-    result = sums.select(
+    products = lines.groupBy("marca", "cod_produto").agg(
+        F.sum(net).alias("net"), F.sum(quantity).alias("qtd_itens"), F.sum(cost).alias("cost")
+    )
+    sums = products.groupBy("marca").agg(
+        F.sum("net").alias("net"),
+        F.sum("qtd_itens").alias("qtd_itens"),
+        F.sum("cost").alias("cost"),
+        F.count("cod_produto").alias("qtd_sku"),
+    )
+    parts = counts.unionByName(sums, allowMissingColumns=True)
+    # A measure comes from one of the two parts; every brand of the sums is also counted.
+    merged = parts.groupBy("marca").agg(*[F.max(c).alias(c) for c in parts.columns if c != "marca"])
+    return merged.na.fill(0, ["qtd_sku"])
+
+
+def _with_ratios(rows: DataFrame, measures: list[str]) -> DataFrame:
+    result = rows.select(
         "marca",
         *measures,
         money_ratio(F.col("net"), F.col("clientes_unicos")).alias("Ticket_Medio_Positivacao"),
@@ -95,11 +119,15 @@ def _by_brand(lines: DataFrame, measures: dict, net) -> DataFrame:
 def brand_table(brands: DataFrame, selected: Sequence[str] = ()) -> DataFrame:
     """Share of the total and markup multiplier of each (selected) brand.
 
-    The selection precedes the total. The window sees one row per brand.
+    The selection precedes the total, which is a scalar subquery: brands are
+    not gathered. A brand has one row, so ``distinct`` changes nothing; it needs
+    every column, which keeps the two uses of ``brands`` alike below it, and
+    Spark then runs their common part once.
     """
     if selected:
         brands = brands.filter(F.col("marca").isin(*selected))
-    total = F.sum(F.col("faturamento").cast("decimal(28,2)")).over(Window.partitionBy())
+    brands = brands.distinct()
+    total = brands.agg(F.sum(F.col("faturamento").cast("decimal(28,2)"))).scalar()
     multiplier = F.col("markup_percentual").cast("decimal(38,10)") / 100 + 1
     return brands.select(
         "marca",

@@ -11,15 +11,23 @@ from salescope.functions.numeric import MONEY, as_double, double_ratio, markup_p
 from salescope.operators.bonus import adjusted, bonus_order, factor_counts, repeated
 from salescope.operators.cost import cmv_unit_cost, with_unit_cost
 from salescope.operators.filters import (
+    Months,
     SalesFilter,
     dimension_filter,
     in_months,
     in_period,
     narrows_orders,
+    sales_filter,
     valid_sale,
 )
 from salescope.operators.joins import splittable_join
-from salescope.operators.lines import of_orders, order_headers, orders_with_items, sold_lines
+from salescope.operators.lines import (
+    filtered_headers,
+    of_orders,
+    order_headers,
+    orders_with_items,
+    sold_lines,
+)
 from salescope.sources.mart import SalesMart
 
 MEASURES = [
@@ -53,8 +61,10 @@ def monthly_revenue_legacy(mart: SalesMart, flt: SalesFilter) -> DataFrame:
     return _monthly(mart, flt.but(seller_names=()), legacy=True)
 
 
-def _monthly(mart: SalesMart, flt: SalesFilter, legacy: bool = False) -> DataFrame:
-    """Sales and bonus lines in one pass over the items.
+def _monthly(
+    mart: SalesMart, flt: SalesFilter, legacy: bool = False, months: Months = None
+) -> DataFrame:
+    """Sales and bonus lines in one pass over the items; ``months`` narrow the period further.
 
     The items are the largest table and carry no date, so they are joined once,
     to the orders of both kinds. The kinds never overlap: no bonus description
@@ -67,6 +77,12 @@ def _monthly(mart: SalesMart, flt: SalesFilter, legacy: bool = False) -> DataFra
     sale = in_period("dt_faturamento", flt.start, flt.end) & valid_sale(check_origin=not legacy)
     bonus = bonus_order(any_text=legacy)
     orders = mart.pedidos.filter(in_months("dt_faturamento", flt.months) & (sale | bonus))
+    retail, salon, factors = mart.varejo_cmv, mart.pedidos_salao, mart.bonificacao
+    if months is not None:
+        orders = orders.filter(in_months("dt_faturamento", months))
+        retail = retail.filter(in_months("dt_faturamento", months))
+        salon = salon.filter(in_months("dtvenda", months))
+        factors = factors.filter(in_months("mes_ref", months))
     orders = orders.withColumn("is_sale", F.coalesce(sale, F.lit(False)))
     headers = dimension_filter(order_headers(orders, mart.empresa_pedido), flt).select(
         "cod_pedido",
@@ -78,14 +94,13 @@ def _monthly(mart: SalesMart, flt: SalesFilter, legacy: bool = False) -> DataFra
         F.col("cod_colaborador_atual").alias("cod_colaborador"),
     )
     items = dimension_filter(mart.item_pedidos, flt)
-    retail, salon = mart.varejo_cmv, mart.pedidos_salao
     if narrows_orders(flt):  # costs meet lines on the order: those of others play no role
         retail, salon = of_orders(retail, headers), of_orders(salon, headers)
-    costs = cmv_unit_cost(retail, salon, mart.bonificacao, months=flt.months)
+    costs = cmv_unit_cost(retail, salon, factors, months=flt.months)
     lines = with_unit_cost(sold_lines(headers.drop("cpfcnpj"), items), costs)
 
     heads = _order_counts(orders_with_items(headers, items) if flt.brands else headers, keys)
-    sums = _line_sums(lines, mart.bonificacao.filter(in_months("mes_ref", flt.months)), keys)
+    sums = _line_sums(lines, factors.filter(in_months("mes_ref", flt.months)), keys)
     parts = heads.unionByName(sums, allowMissingColumns=True)
     # A measure comes from one part, the bonus from one row per factor.
     measures = [F.max(c).alias(c) for c in parts.columns if c not in (*keys, "bonus")]
@@ -204,7 +219,25 @@ def monthly_series(revenue: DataFrame, start: date, end: date) -> DataFrame:
     return months.join(sums, "mes_ref", "left").na.fill(0).orderBy("mes_ref")
 
 
-def latest_month_kpis(revenue: DataFrame) -> DataFrame:
+def latest_month(mart: SalesMart, flt: SalesFilter) -> Column:
+    """First day of the latest month that has revenue, as a scalar subquery on the filtered orders.
+
+    Company and items are read only where a filter needs them.
+    """
+    orders = sales_filter(mart.pedidos, flt.start, flt.end)
+    headers = filtered_headers(mart, orders, flt, company_columns=False)
+    if flt.brands:
+        headers = orders_with_items(headers, dimension_filter(mart.item_pedidos, flt))
+    return headers.agg(month_of(F.max("dt_faturamento"))).scalar()
+
+
+def latest_month_kpis(mart: SalesMart, flt: SalesFilter) -> DataFrame:
+    """``month_kpis`` of the latest month; orders, costs and factors of earlier months are not read."""
+    latest = latest_month(mart, flt)
+    return month_kpis(_monthly(mart, flt, months=(latest, latest)))
+
+
+def month_kpis(revenue: DataFrame) -> DataFrame:
     """The latest month's sums with discount and bonus percentages and the markup multiplier.
 
     The result has one row, or none for an empty input.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import AbstractContextManager
+
 from pyspark.sql import DataFrame, functions as F
 
 from salescope.functions.numeric import as_double, double_ratio
@@ -16,6 +18,7 @@ from salescope.operators.scores import (
     segment,
 )
 from salescope.sources.mart import SalesMart
+from salescope.sources.shared import held
 
 
 def rfm_base(mart: SalesMart, flt: SalesFilter) -> DataFrame:
@@ -56,12 +59,21 @@ def rfm_scores(mart: SalesMart, flt: SalesFilter) -> DataFrame:
     return _scored(rfm_base(mart, flt), RECENCY_BANDS, FREQUENCY_BANDS)
 
 
+def scored_clients(mart: SalesMart, flt: SalesFilter) -> AbstractContextManager[DataFrame]:
+    """``rfm_scores`` computed once for several queries on them.
+
+        with scored_clients(mart, flt) as scores:
+            summary = rfm_summary(scores).collect()
+            clients = rfm_segment_clients(scores, "Em risco").collect()
+
+    The scored table lies in the shared folder until the block ends.
+    """
+    return held(rfm_scores(mart, flt), "rfm-scores")
+
+
 def _scored(base: DataFrame, recency, frequency) -> DataFrame:
-    by_money = [
-        F.col("Monetario").desc_nulls_last(),
-        F.col("Cod_Cliente").asc(),
-        F.col("cod_colaborador_atual").asc(),
-    ]
+    money = F.col("Monetario")  # descending, NULL last
+    by_money = [money.isNull(), -money, F.col("Cod_Cliente"), F.col("cod_colaborador_atual")]
     banded = base.withColumns(
         {
             "R_Score": band_score(F.col("Recencia"), recency),

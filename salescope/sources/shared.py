@@ -1,8 +1,10 @@
-"""Tables written to the cluster's shared folder between two stages of a query."""
+"""Tables written to the cluster's shared folder for several queries."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,13 +15,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of it.
+@contextmanager
+def held(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` written once for the length of a ``with`` block, which owns the folder and removes it.
 
-    The scan is columnar, so later steps read only their columns, and a lost
-    executor costs a re-read instead of a recomputation.
+    Queries on the yielded scan must end inside the block.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 from salescope.operators import cost, lines
+from salescope.operators.bonus import monthly_bonus
 from salescope.operators.joins import splittable_join
-from salescope.plans import revenue, rfm, status
+from salescope.plans import brands, revenue, rfm, status
 from salescope.sources.mart import load_mart
 from salescope.sources.schemas import SCHEMAS
 
@@ -205,8 +206,62 @@ def test_splittable_join_keeps_columns_and_nulls_apart(spark):
     assert sorted(map(tuple, got.collect()), key=str) == [(1, "a", "c"), (None, "b", None)]
 
 
+def jobs(spark) -> int:
+    return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+
+
 @needs_data
-def test_ntile_leaves_no_trace_of_a_global_window(spark):
+def test_ntile_is_lazy_and_gathers_nothing(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    files = sorted(os.listdir(folder))
     m = registry.mart_from_star(spark, SF_DIR)
-    plan = plan_of(rfm.rfm_scores(m, registry.PERIOD))
-    assert "Window" not in plan and "Exchange" not in plan and "FileScan" in plan
+    before = jobs(spark)
+    scores = rfm.rfm_scores(m, registry.PERIOD)
+    assert jobs(spark) == before
+    scores.collect()
+    assert jobs(spark) > before and sorted(os.listdir(folder)) == files
+    windows = re.findall(r"Window \[.*", plan_of(scores))
+    assert windows and all("[_ntile_range" in w for w in windows)
+
+
+def below(plan: str, operator: str) -> list[str]:
+    """The text of the subtree under each line that names ``operator``."""
+    lines_of_plan = plan.splitlines()
+    depth = [len(re.match(r"[\s:|+\-*]*", line).group()) for line in lines_of_plan]
+    found = []
+    for i, line in enumerate(lines_of_plan):
+        if re.search(rf"\b{operator}\b", line):
+            end = next((j for j in range(i + 1, len(lines_of_plan)) if depth[j] <= depth[i]), len(lines_of_plan))
+            found.append("\n".join(lines_of_plan[i:end]))
+    return found
+
+
+def test_brands_are_counted_without_copying_lines(spark, stored):
+    m = load_mart(spark, stored)
+    for query in (brands.brand_performance, brands.brand_performance_legacy):
+        copied = below(plan_of(query(m, PERIOD)), "Expand")
+        assert copied
+        for part in copied:
+            assert "preco_" not in part and "qtd" not in part and "cod_produto" not in part
+
+
+def test_bonus_reads_the_items_once(spark, stored):
+    m = load_mart(spark, stored)
+    for kw in ({}, {"by_seller": True}, {"match_brand": True}, {"any_text": True}):
+        plan = plan_of(monthly_bonus(m, **kw))
+        assert len([s for s in scans(plan) if "/item_pedidos]" in s]) == 1
+
+
+def test_latest_month_reaches_orders_and_costs(spark, stored):
+    plan = plan_of(revenue.latest_month_kpis(load_mart(spark, stored), PERIOD))
+    for name, column in (("pedidos", "dt_faturamento"), ("varejo_cmv", "dt_faturamento"),
+                         ("pedidos_salao", "dtvenda"), ("bonificacao", "mes_ref")):
+        of_table = [s for s in scans(plan) if f"/{name}]" in s]
+        limited = [s for s in of_table if re.search(rf"{column}#\d+ >= \w*[sS]ubquery", s)]
+        assert limited, of_table
+
+
+def test_brand_total_needs_no_window(spark, stored):
+    m = load_mart(spark, stored)
+    plan = plan_of(brands.brand_table(brands.brand_performance(m, PERIOD)))
+    assert "Window" not in plan and "ubquery" in plan

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import random
+import os
 from collections import Counter
 
 import pytest
 from fixtures import PERIOD, d, dec, item, mart_of, order, rows
 from pyspark.sql import functions as F
 
-from salescope.operators.ntile import bucket_starts, with_ntile
+from salescope.operators.ntile import with_ntile
 from salescope.operators.profile import client_profile
 from salescope.operators.scores import (
     FREQUENCY_BANDS, FREQUENCY_BANDS_ELEVEN, RECENCY_BANDS, RECENCY_BANDS_ELEVEN, band_score, segment,
@@ -70,17 +70,11 @@ def expected_ntile(n, k):
 
 
 @pytest.mark.parametrize("n", [0, 1, 3, 5, 7, 11, 100])
-@pytest.mark.parametrize("k", [1, 2, 5])
-def test_bucket_starts(n, k):
-    rng = random.Random(n * 10 + k)
-    parts, left, part = [], n, 0
-    while left:
-        take = rng.randint(1, left)
-        parts.append((part, take))
-        left, part = left - take, part + rng.randint(1, 3)
-    starts = bucket_starts(parts, k)
-    positions = [(p << 33) + i for p, m in parts for i in range(m)]
-    assert [1 + sum(q >= s for s in starts) for q in positions] == expected_ntile(n, k)
+def test_bucket_sizes(spark, n):
+    df = spark.range(n).select("id", (F.col("id") * 7 % 11).alias("v"))
+    for k, ranges in ((1, 4), (2, 1), (5, 4), (5, 1024)):
+        got = with_ntile(df, k, [F.col("v"), F.col("id")], "b", ranges).collect()
+        assert [r["b"] for r in sorted(got, key=lambda r: (r["v"], r["id"]))] == expected_ntile(n, k)
 
 
 def test_ntile_ties_and_direction(spark):
@@ -97,27 +91,46 @@ def test_ntile_fewer_rows_than_buckets(spark):
 
 
 def test_ntile_of_one_hot_value_is_exact_and_spread(spark):
-    """A third of all rows share one value: every bucket size is exact, no task gets them all."""
+    """A third of all rows share one value: every bucket size is exact, no range gets them all."""
     n = 30_000
-    df = spark.range(n).select(
-        "id", F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise((F.col("id") * 37 % 1000) / 50.0)
-        .alias("v"))
-    with_conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
-    old = {k: spark.conf.get(k) for k in with_conf}
-    for k, v in with_conf.items():
-        spark.conf.set(k, v)
-    try:
-        got = with_ntile(df, 5, [F.col("v").desc_nulls_last(), F.col("id").asc()], "b")
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
+    hot = F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise((F.col("id") * 37 % 1000) / 50.0)
+    df = spark.range(n).select("id", hot.alias("v"), F.lit(None).cast("string").alias("s"))
+    got = with_ntile(df, 5, [-F.col("v"), F.col("id"), F.col("s")], "b", ranges=64)
     pdf = got.toPandas().sort_values(["v", "id"], ascending=[False, True])
     assert pdf["b"].tolist() == expected_ntile(n, 5)
-    sizes = [r["count"] for r in got.filter("v = 7.0")
-             .groupBy(F.input_file_name().alias("f")).count().collect()]
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        parts = got.withColumn("part", F.spark_partition_id()).filter("v = 7.0").select("part").collect()
+    finally:
+        spark.conf.set(name, old)
+    sizes = Counter(r["part"] for r in parts).values()
     assert len(sizes) > 1 and max(sizes) < n / 3
 
 
+def test_scored_clients_are_computed_once_and_removed(spark):
+    m = mart_of(spark, perfil_cliente=[profile(c, c % 7, c % 12 + 1, c * 3) for c in range(1, 60)])
+    with rfm.scored_clients(m, PERIOD) as scores:
+        (path,) = {f.rsplit("/", 1)[0] for f in scores.inputFiles()}
+        for df in (rfm.rfm_summary(scores), rfm.rfm_heatmap(rfm.rfm_summary(scores)),
+                   rfm.rfm_segment_clients(scores, "Em risco"), rfm.rfm_segments(scores)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert path.rsplit("/", 1)[1] in plan and "LocalTableScan" not in plan
+        assert sorted(rows(scores)) == sorted(rows(rfm.rfm_scores(m, PERIOD)))
+        folder = path.removeprefix("file:").replace("//", "/")
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder)
+
+
+def test_scored_clients_are_removed_after_a_failure(spark):
+    m = mart_of(spark, perfil_cliente=[profile(1)])
+    with pytest.raises(RuntimeError), rfm.scored_clients(m, PERIOD) as scores:
+        folder = scores.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+        raise RuntimeError
+    assert not os.path.exists(folder)
+
+
 def test_client_with_two_sellers_counts_twice(spark):
     m = mart_of(spark, perfil_cliente=[profile(1, money=40), profile(2, money=10)],
                 cliente_vendedor=[(1, "1"), (1, "2")])

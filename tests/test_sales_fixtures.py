@@ -8,11 +8,11 @@ from fixtures import PERIOD, company, d, dec, item, mart_of, order, rows, table
 from pyspark.sql import functions as F
 
 from salescope.operators import cost
-from salescope.operators.bonus import bonus_lines, bonus_value
+from salescope.operators.bonus import bonus_lines, bonus_value, monthly_bonus
 from salescope.operators.filters import SalesFilter, sales_filter
 from salescope.operators.lines import order_lines
 from salescope.plans import brands, catalog, revenue
-from salescope.sources.mart import SalesMart, SchemaError, conform, load_mart, mart_from_catalog
+from salescope.sources.mart import SalesMart, SchemaError, check_values, conform, load_mart, mart_from_catalog
 from salescope.sources.schemas import SCHEMAS
 
 JAN = d("2024-01-01")
@@ -31,7 +31,9 @@ def bonus(spark, factors, items=None, companies=None, orders=None, **kw):
         bonificacao=factors,
         varejo_marca=[(1, " x "), (2, "Y")],
     )
-    return rows(bonus_value(bonus_lines(m), m.bonificacao, m.varejo_marca, **kw))
+    got = rows(monthly_bonus(m, **kw))
+    assert sorted(got, key=repr) == sorted(rows(bonus_value(bonus_lines(m), m.bonificacao, m.varejo_marca, **kw)), key=repr)
+    return got
 
 
 def test_bonus_line_counts_once_per_factor_row(spark):
@@ -129,6 +131,23 @@ def test_factor_rows_weigh_the_average_by_their_number(spark):
     assert unit_costs(spark, retail, factors=factors) == [(1, "1", JAN, dec("2.50"))]
 
 
+def test_products_of_six_decimals_are_exact(spark):
+    exact = [(1, "1", d("2024-01-10"), "1.000001", "1.000001", 1, "0")]
+    factors = table(spark, "bonificacao", [factor(value=1), factor(value=1)])
+    keys = ["cod_pedido", "cod_produto"]
+    cmv = table(spark, "varejo_cmv", exact).withColumn("fator", F.lit(1).cast("decimal(18,8)")).withColumn("n", F.lit(2))
+    products = cmv.select(cost.weighted_product("qtd", "custo_unitario").alias("p"))
+    assert rows(products) == [(dec("2.000004000002"),)]
+    assert products.schema["p"].dataType.scale == 12
+    # A half cent that only the twelfth decimal lifts or misses: 0.005 and a little less.
+    for price, want in (("0.005000", "0.01"), ("0.004999", "0.00")):
+        row = [(1, "1", d("2024-01-10"), "0.000001", price, 1, "0")]
+        got = cost.cmv_retail(table(spark, "varejo_cmv", row), factors)
+        assert rows(got, "custo_medio") == [(dec(want),)]
+        assert rows(cost.cmv_legacy(table(spark, "varejo_cmv", row)), "custo_medio") == [(dec(want),)]
+    assert keys == got.columns[:2]
+
+
 def test_cost_without_quantity_is_null(spark):
     assert unit_costs(spark, [(1, "1", d("2024-01-10"), 0, 3, 1, "0")]) == [(1, "1", JAN, None)]
 
@@ -408,17 +427,40 @@ def test_kpis_of_the_latest_month(spark):
          revenue_row("2024-02-01", faturamento_bruto=80.0, desconto=20.0, faturamento_liquido=60.0,
                      valor_bonificacao=6.0, markup_percentual=50.0),
          revenue_row("2024-02-01", faturamento_bruto=20.0, markup_percentual=10.0)], REVENUE)
-    (got,) = [r.asDict() for r in revenue.latest_month_kpis(df).collect()]
+    (got,) = [r.asDict() for r in revenue.month_kpis(df).collect()]
     assert got["mes_ref"] == d("2024-02-01") and got["faturamento_bruto"] == 100
     assert (got["desconto_percentual"], got["bonificacao_percentual"]) == (20, 10)
     assert got["markup_value"] == pytest.approx(1.6)
 
 
+@pytest.mark.parametrize("flt", [
+    PERIOD, PERIOD.but(brands=("X",)), PERIOD.but(ufs=("RJ",)), PERIOD.but(seller_code="1"),
+    PERIOD.but(channels=("none",)), SalesFilter(d("2024-01-05"), d("2024-02-15")),
+])
+def test_latest_month_equals_the_latest_of_all_months(spark, flt):
+    m = mart_of(
+        spark,
+        pedidos=[order(1, 1, "2024-01-10"), order(2, 2, "2024-02-11"), order(3, 1, "2024-02-20"),
+                 order(4, 3, "2024-03-05"), order(5, 4, "2024-03-06", cfop="BONIFICADO"),
+                 order(6, 5, "2024-02-12", cfop="BONIFICADO")],
+        item_pedidos=[item(1, 1, "X", 2, 10, 8), item(2, 2, "X", 1, 20), item(3, 1, "Y", 1, 5),
+                      item(4, 3, "Y", 3, 7), item(5, 1, "X", 1, 4), item(6, 2, "X", 1, 6)],
+        empresa_pedido=[company(i, uf="RJ" if i < 3 else "SP", seller=str(i % 2)) for i in range(1, 7)],
+        varejo_cmv=[(2, "2", d("2024-02-11"), 1, 3, 1, "0"), (4, "3", d("2024-03-05"), 3, 2, 1, "0"),
+                    (1, "1", d("2024-01-10"), 2, 4, 1, "0")],
+        pedidos_salao=[(3, "1", d("2024-02-20"), 1, 2, "X")],
+        bonificacao=[factor(value=2), factor(month=d("2024-02-01"), value=4), factor(month=d("2024-03-01"), value=2)],
+    )
+    want = rows(revenue.month_kpis(revenue.monthly_revenue(m, flt)))
+    assert rows(revenue.latest_month_kpis(m, flt)) == want
+    assert bool(want) == (flt.channels == ())
+
+
 def test_kpi_guards(spark):
     df = spark.createDataFrame([revenue_row("2024-02-01", desconto=5.0)], REVENUE)
-    got = revenue.latest_month_kpis(df).first()
+    got = revenue.month_kpis(df).first()
     assert (got["desconto_percentual"], got["bonificacao_percentual"]) == (0, 0)
-    assert revenue.latest_month_kpis(df.limit(0)).count() == 0
+    assert revenue.month_kpis(df.limit(0)).count() == 0
 
 
 def test_brand_share_is_of_the_selection(spark):
@@ -441,6 +483,58 @@ def test_schema_is_checked(spark):
     assert mixed.columns == ["cod_marca", "desc_abrev"]
 
 
+ITEM = "cod_pedido {0}, cod_produto int, sku string, marca string, qtd {1}, preco_total {1}, preco_desconto_rateado {1}"
+
+
+def stored_items(spark, tmp_path, fmt, value, whole="1"):
+    """One item row as text (csv) or as doubles (parquet), loaded as a mart's items."""
+    text = spark.createDataFrame([(whole, 1, "1", "X", "2", value, "3")], ITEM.format("string", "string"))
+    path = f"{tmp_path}/item_pedidos"
+    if fmt == "csv":
+        text.write.option("header", True).csv(path)
+    else:
+        kinds = {c: F.col(c).cast("double") for c in ("cod_pedido", "qtd", "preco_total", "preco_desconto_rateado")}
+        text.withColumns(kinds).write.parquet(path)
+    return load_mart(spark, str(tmp_path), fmt)
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+@pytest.mark.parametrize("value", ["0.0000004", "0.1234564", "1e-9", "1234567890123.5", "NaN"])
+def test_values_are_not_rounded_in_silence(spark, tmp_path, fmt, value):
+    stored = stored_items(spark, tmp_path, fmt, value)
+    with pytest.raises(SchemaError, match="preco_total \\(1 values"):
+        check_values(stored._sources["item_pedidos"](), "item_pedidos")
+    with pytest.raises(Exception, match="SchemaError: item_pedidos.preco_total"):
+        stored.item_pedidos.collect()
+    assert rows(stored.item_pedidos, "qtd") == [(dec(2),)]  # only queries that read the column fail
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+@pytest.mark.parametrize("value", ["0.1", "0.123456", "-7", "1234567.25", "1e3", "0.12345600", "123456789012.5"])
+def test_values_that_fit_are_kept(spark, tmp_path, fmt, value):
+    stored = stored_items(spark, tmp_path, fmt, value)
+    check_values(stored._sources["item_pedidos"](), "item_pedidos")
+    assert rows(stored.item_pedidos, "cod_pedido", "preco_total") == [(1, dec(value))]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_keys_are_not_cut_in_silence(spark, tmp_path, fmt):
+    stored = stored_items(spark, tmp_path, fmt, "1", whole="1.5")
+    with pytest.raises(Exception, match="SchemaError: item_pedidos.cod_pedido"):
+        stored.item_pedidos.collect()
+
+
+def test_nulls_and_bad_dates_of_text_tables(spark):
+    text = spark.createDataFrame(
+        [("1", None, None, "", "1", "X"), ("1", "2024-02-30", "0", "", "1", "X")],
+        "cod_pedido string, dtvenda string, quant string, codprod string, custo string, categoria string",
+    )
+    got = conform(text, "pedidos_salao")
+    assert rows(got.filter("quant is null"), "dtvenda", "custo") == [(None, dec(1))]
+    with pytest.raises(Exception, match="SchemaError: pedidos_salao.dtvenda"):
+        got.collect()
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv", "orc"])
 def test_stored_mart_gives_the_same_revenue(spark, tmp_path, fmt):
     m = sales(spark, varejo_cmv=RETAIL)

@@ -79,6 +79,13 @@ def test_base_edges(spark):
     assert start in having(events(spark, [(old + timedelta(days=1)).isoformat()]), BASE)
 
 
+def test_floor_within_a_month_leaves_that_month_out():
+    first = d("2024-02-01")
+    assert StatusCalendar(d("2024-12-01"), d("2024-12-31"), d("2024-01-15")).floor == first
+    assert StatusCalendar(d("2024-12-01"), d("2024-12-31"), first).floor == first
+    assert StatusCalendar(d("2024-12-01"), d("2024-12-31"), d("2020-01-01")).floor == d("2023-09-01")
+
+
 def test_floor_hides_all_but_new_and_churn(spark):
     got = events(spark, ["2023-09-10", "2023-10-10", "2023-12-20", "2024-01-05"])
     assert {(m, s) for m, s in got if m < d("2024-01-01")} == {(d("2023-09-01"), NEW)}
