@@ -5,9 +5,14 @@ number of buckets. For each bucket the log ratio of its smoothed share among
 toxic and among clean training documents scales the feature, and logistic
 regression with L2 is fitted on the scaled features.
 
+The training documents, whole, become features on the executors and are written
+once. Their counts by bucket are summed in Spark; the driver gets those of the
+buckets that have a ratio, then document by document the buckets that do, as
+one flat array of 4 bytes each. So it holds neither texts nor other buckets.
+
 Cases: a null or empty text has no feature and gets the score of the intercept;
-rows that repeat are scored each; extra columns are not read; without training
-rows of both classes every score is the known share of class 1 (0 if unknown).
+rows that repeat are scored each, and in training an id has one row, that with
+the smallest text hash; extra columns are not read; without training rows of both classes every score is the known share of class 1 (0 if unknown).
 """
 
 from __future__ import annotations
@@ -19,20 +24,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from salescope.llm.common import crc_remainder, mixed, small_batches
+from salescope.llm.common import crc_remainder, mixed, small_batches, written
 
 BUCKET_BITS = 20
 SIZES = (3, 4, 5, 6, 7, 8)
 #: The classifier is fitted on at most so many labelled documents of each class.
 MAX_TRAIN_PER_CLASS = 2500
-#: Of a training document so many characters are read at most; scoring reads all.
-MAX_TRAIN_CHARS = 20_000
 ITERATIONS = 50
 #: Chosen by four folds of the training rows of sf0.1, without its held-out rows.
 L2 = 1e-3
 STEP = 0.3
 BLOCK_CHARS = 1 << 20
-BLOCK_IDS = 1 << 21
+BLOCK_IDS = 1 << 20
+#: A bucket has a ratio if it is in more training documents than this.
+RARE = 2
 
 
 def _folded(text: str | None) -> np.ndarray:
@@ -96,45 +101,40 @@ def score(weights: np.ndarray, bias: float, buckets: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _blocks(docs: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Ranges of documents with about BLOCK_IDS buckets each, so that the fit's temporaries stay small."""
-    ends = np.cumsum([len(d) for d in docs]) // BLOCK_IDS
-    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(docs)]
-    return list(zip(cuts[:-1], cuts[1:], strict=True))
+def ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
+    """Log-count ratios from the numbers of toxic and clean documents that hold each bucket; 0 where rare.
+
+    A document counts as present or absent: shares are of documents, not of all n-grams.
+    """
+    ratio = np.log((toxic + 1.0) / (n_toxic + 2.0)) - np.log((clean + 1.0) / (n_clean + 2.0))
+    return np.where(toxic + clean > RARE, ratio, 0.0)
 
 
-def fit_rows(docs: list[np.ndarray], labels: np.ndarray) -> Model:
-    """Log-count ratios, then logistic regression by accelerated gradient steps."""
-    size = 1 << BUCKET_BITS
+def fit_rows(ids: np.ndarray, lengths: np.ndarray, labels: np.ndarray, ratio: np.ndarray) -> Model:
+    """Logistic regression by accelerated gradient steps.
+
+    ``ids`` are the buckets of all documents, one after the other, ``lengths``
+    says how many each has; buckets without a ratio can't move a score and may
+    be left out. Temporaries are as long as a block of documents.
+    """
+    size = len(ratio)
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
         odds = np.clip(share, 1e-6, 1 - 1e-6)
         return Model(np.zeros(size, np.float32), float(np.log(odds / (1 - odds))))
-    p, q = np.ones(size), np.ones(size)
-    for first, last in _blocks(docs):
-        for y, count in ((1, p), (0, q)):
-            own = [d for d, label in zip(docs[first:last], labels[first:last], strict=True) if label == y]
-            if own:
-                count += np.bincount(np.concatenate(own), minlength=size)
-    # A document counts as present or absent: shares are of documents, not of all n-grams.
-    ratio = np.log(p / (labels.sum() + 2.0)) - np.log(q / ((1 - labels).sum() + 2.0))
-    known = (p + q) > 4
-    ratio = np.where(known, ratio, 0.0)
-    parts = []
-    for first, last in _blocks(docs):
-        ids = np.concatenate(docs[first:last]).astype(np.int32)
-        row = np.repeat(np.arange(last - first, dtype=np.int32), [len(d) for d in docs[first:last]])
-        kept = known[ids]  # buckets without a ratio can't move a score
-        parts.append((first, last, ids[kept], row[kept]))
+    ends = np.cumsum(lengths)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // BLOCK_IDS)) + 1).tolist(), len(lengths)]
     w, bias = np.zeros(size), float(np.log(share / (1 - share)))
     # Adagrad: buckets that few documents hold get larger steps than common ones.
     seen, seen_bias = np.full(size, 1e-6), 1e-6
     for _ in range(ITERATIONS):
         scaled, pull, g = w * ratio, np.zeros(size), 0.0
-        for first, last, ids, row in parts:
-            z = np.bincount(row, scaled[ids], minlength=last - first) + bias
-            miss = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels[first:last]) / len(docs)
-            pull += np.bincount(ids, miss[row], minlength=size)
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            own = ids[ends[first] - lengths[first] : ends[last - 1]]
+            row = np.repeat(np.arange(last - first), lengths[first:last])
+            z = np.bincount(row, scaled[own], minlength=last - first) + bias
+            miss = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels[first:last]) / len(labels)
+            pull += np.bincount(own, miss[row], minlength=size)
             g += miss.sum()
         grad = pull * ratio + L2 * w
         seen += grad * grad
@@ -144,13 +144,12 @@ def fit_rows(docs: list[np.ndarray], labels: np.ndarray) -> Model:
     return Model((w * ratio).astype(np.float32), float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic") -> Model:
-    """Fit on a bounded sample: per class the rows with the smallest hash of the id.
+def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, label: str) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, y) of the picked documents, one row per id, and the labelled rows of each class.
 
-    ``usable`` is a condition on ``doc_id``. Labels other than 0 and 1 are left out;
-    a document labelled twice counts with its largest label.
+    Per class the ids with the smallest hash are picked. Labels other than 0 and 1 are
+    left out; a document labelled twice counts with its largest label.
     """
-    small_batches(docs.sparkSession)
     known = (
         labels.filter(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -161,14 +160,65 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic"
         known.filter(F.col("y") == y).orderBy(order, "doc_id").limit(MAX_TRAIN_PER_CLASS) for y in (0, 1)
     ]
     picked = F.broadcast(parts[0].unionByName(parts[1]))  # bounded by the limits above
-    texts = docs.select("doc_id", F.substring("text", 1, MAX_TRAIN_CHARS).alias("text"))
-    rows = texts.join(picked, "doc_id").mapInArrow(_features, "doc_id long, y int, ids binary")
-    got = rows.toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+    texts = docs.select("doc_id", "text").join(picked, "doc_id")
+    # Repeated rows of an id meet as hashes first; one text of each id is kept.
+    one = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("r"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    y = got["y"].to_numpy().astype(float)
-    features = [np.frombuffer(x.as_py(), np.int32) for x in got["ids"]]
-    model = fit_rows(features, y)
-    return _calibrated(model, counts, y)
+    return one.select("doc_id", "r.text", "r.y"), counts
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic") -> Model:
+    """Fit on the whole texts of a bounded number of documents. ``usable`` is a condition on ``doc_id``."""
+    small_batches(docs.sparkSession)
+    chosen, counts = training_rows(docs, labels, usable, label)
+    features = written(chosen.mapInArrow(_features, "doc_id long, y int, ids binary"), "toxic-features")
+    n = {r["y"]: r["count"] for r in features.groupBy("y").count().collect()}
+    held = features.select("y", "ids").mapInArrow(_held, "bucket int, toxic long, clean long")
+    held = held.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    common = held.filter(F.col("toxic") + F.col("clean") > RARE).toArrow()  # at most 2**BUCKET_BITS rows
+    toxic, clean = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
+    toxic[common["bucket"].to_numpy()] = common["toxic"].to_numpy()
+    clean[common["bucket"].to_numpy()] = common["clean"].to_numpy()
+    del common
+    ratio = ratios(toxic, clean, n.get(1, 0), n.get(0, 0))
+    usual = features.mapInArrow(_only(docs.sparkSession.sparkContext.broadcast(toxic + clean > RARE)), features.schema)
+    ids, lengths, y = np.zeros(1 << 20, np.int32), [], []
+    at = 0
+    for r in usual.orderBy("doc_id").toLocalIterator():
+        own = np.frombuffer(r["ids"], np.int32)
+        if at + len(own) > len(ids):
+            ids = np.append(ids, np.zeros(max(len(ids) // 2, len(own)), np.int32))
+        ids[at : at + len(own)] = own
+        at += len(own)
+        lengths.append(len(own))
+        y.append(r["y"])
+    target = np.array(y, float)
+    model = fit_rows(ids[:at], np.array(lengths, np.int64), target, ratio)
+    return _calibrated(model, counts, target)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's toxic and clean documents hold each bucket."""
+    counts = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+    for b in batches:
+        for y, ids in zip(b.column("y").to_pylist(), b.column("ids").to_pylist(), strict=True):
+            counts[y, np.frombuffer(ids, np.int32)] += 1  # a document's buckets are distinct
+    some = np.flatnonzero(counts.any(axis=0)).astype(np.int32)
+    if len(some):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some), pa.array(counts[1, some]), pa.array(counts[0, some])], ["bucket", "toxic", "clean"]
+        )
+
+
+def _only(known):
+    """Rows with their buckets cut to the ``known`` ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = [(x := np.frombuffer(ids, np.int32))[known.value[x]].tobytes() for ids in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(cut, pa.binary())], ["doc_id", "y", "ids"])
+
+    return run
 
 
 def _calibrated(model: Model, counts: dict[int, int], y: np.ndarray) -> Model:
