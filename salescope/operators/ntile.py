@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: About so many ranges; a range is what one task sorts.
-RANGES = 1024
-_STEPS = 11  # halvings that find a place among RANGES bounds
+#: At most so many ranges, a power of two; a range is what one task sorts.
+RANGES = 256
 _KEY, _RANGE = "_ntile_key", "_ntile_range"
 
 
@@ -35,42 +34,38 @@ def with_ntile(
     least = F.min(F.struct("_ntile_hash", _KEY))
     picked = rows.groupBy(F.pmod("_ntile_hash", F.lit(ranges)).alias("part")).agg(least.alias("least"))
     bounds = picked.agg(F.array_sort(F.collect_list(f"least.{_KEY}"))).scalar()
-    # A column of its own, as a lambda may not hold a subquery.
-    rows = rows.drop("_ntile_hash").withColumn("_ntile_bounds", bounds)
-    rows = rows.withColumn(_RANGE, _below(F.col("_ntile_bounds"), F.col(_KEY))).drop("_ntile_bounds")
+    rows = _with_range(rows.drop("_ntile_hash").withColumn("_ntile_bounds", bounds), ranges)
     counts = rows.groupBy(_RANGE).agg(F.count(F.lit(1)).alias("n"))
     listed = F.array_sort(F.collect_list(F.struct(_RANGE, "n")))
     before = counts.agg(listed.alias("counts")).select(_running(F.col("counts"))).scalar()
 
-    total = F.element_at(before, -1)
     within = F.row_number().over(Window.partitionBy(_RANGE).orderBy(_KEY))
-    place = F.get(before, F.col(_RANGE)) + F.col("_ntile_row") - 1
+    # Columns of their own, so that each is one expression however often it is used.
+    rows = rows.withColumn("_ntile_row", within).withColumn("_ntile_before", before)
+    total = F.element_at("_ntile_before", -1)
+    place = F.get("_ntile_before", F.col(_RANGE)) + F.col("_ntile_row") - 1
     size, extra = F.floor(total / F.lit(k)).cast("long"), total % k
     large = extra * (size + 1)  # rows of the first buckets, which hold one more
     bucket = F.when(place < large, F.floor(place / (size + 1))).otherwise(
         extra + F.floor(F.try_divide(place - large, size))
     )
-    return rows.withColumn("_ntile_row", within).withColumn(name, (bucket + 1).cast("int")).drop(
-        _KEY, _RANGE, "_ntile_row"
+    return rows.withColumn(name, (bucket + 1).cast("int")).drop(
+        _KEY, _RANGE, "_ntile_row", "_ntile_before"
     )
 
 
-def _below(bounds: Column, key: Column) -> Column:
-    """How many of the sorted ``bounds`` are less than ``key``, by halving."""
+def _with_range(rows: DataFrame, ranges: int) -> DataFrame:
+    """Add how many of the sorted bounds are less than the key, by halving steps.
 
-    def halve(state: Column, _: Column) -> Column:
-        lo, hi = state["lo"], state["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        less = F.get(bounds, mid) < key
-        return F.when(lo >= hi, state).otherwise(
-            F.struct(
-                F.when(less, mid + 1).otherwise(lo).alias("lo"),
-                F.when(less, hi).otherwise(mid).alias("hi"),
-            )
-        )
-
-    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), start, halve, lambda s: s["lo"])
+    A step is a projection, so that all of them run in generated code on the one
+    array; a place behind the last bound is NULL and counts as not less.
+    """
+    rows, step = rows.withColumn(_RANGE, F.lit(0)), 1 << (ranges.bit_length() - 1)
+    while step:
+        less = F.get("_ntile_bounds", F.col(_RANGE) + F.lit(step - 1)) < F.col(_KEY)
+        rows = rows.withColumn(_RANGE, F.col(_RANGE) + F.when(less, F.lit(step)).otherwise(F.lit(0)))
+        step >>= 1
+    return rows.drop("_ntile_bounds")
 
 
 def _running(counts: Column) -> Column:
