@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -111,15 +110,3 @@ def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word of ``text``, in order."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(WORD_BYTES), np.uint8)
     return run_hashes(data, data != 32)[2]
-
-
-def chunks(items: Iterable, size: int) -> Iterable[list]:
-    """Lists of ``size`` items, the last one shorter."""
-    part: list = []
-    for x in items:
-        part.append(x)
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part
