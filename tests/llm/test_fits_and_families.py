@@ -113,3 +113,32 @@ def test_a_large_family_is_one_class(spark, words, edits):
     assert alike == 190
     classes = [c for _, c in rows_of(order_minhash.near_duplicates(docs_of(spark, list(enumerate(texts)))))]
     assert classes.count(0) >= 0.99 * len(texts)
+
+
+@pytest.mark.parametrize("words", [50, 100, 300])
+def test_recall_by_share_of_words_edited(spark, words):
+    """Lone pairs that differ in a share of their words; whether they are alike is not asked of the sketch."""
+    rng = random.Random(words)
+    texts, pairs = [], {}
+    for share in (0.05, 0.10, 0.15, 0.19):
+        for _ in range(150):
+            base = [f"w{rng.randint(0, 5000)}" for _ in range(words)]
+            copy = list(base)
+            for at in rng.sample(range(words), int(share * words)):
+                copy[at] = f"n{rng.randint(0, 10**6)}"
+            pairs.setdefault(share, []).append((len(texts), len(texts) + 1))
+            texts += [" ".join(base), " ".join(copy)]
+    of = dict(rows_of(order_minhash.near_duplicates(docs_of(spark, list(enumerate(texts))))))
+    for share, some in pairs.items():
+        assert sum(of[a] == of[b] for a, b in some) >= (0.99 if share < 0.15 else 0.9) * len(some), share
+
+
+def test_word_counts_reject_no_pair_that_is_alike():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = np.array([rng.randint(0, 300) for _ in range(rng.randint(1, 90))], np.uint64)
+        b = np.array([w for w in a for w in ([w] if rng.random() > 0.2 else [rng.randint(0, 300)] * rng.randint(0, 2))], np.uint64)
+        longer, gap = max(len(a), len(b)), abs(len(a) - len(b))
+        ca, cb = (order_minhash.bucket_counts(x).astype(int) for x in (a, b))
+        if similar(a.astype("<u4"), b.astype("<u4"), 0.8):
+            assert abs(ca - cb).sum() <= 2 * int(0.2 * longer + 1e-9) - gap
