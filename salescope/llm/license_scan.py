@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from salescope.llm.common import LOWER, SEPARATORS, UPPER
+from salescope.operators.joins import splittable_join
 
 K = 4
 #: Diagonals at most so far apart are merged.
@@ -193,7 +194,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         F.array(*(F.when(F.size(p) > 0, F.lit(x)) for p, x in zip(places, labels, strict=True)))
     )
     rows = rows.select("doc_id", *_KEY, "n", F.concat(*places).alias("at"), base.alias("base"))
-    joined = rows.join(found, list(_KEY), "left")
+    joined = splittable_join(rows, found, list(_KEY), "left")
     more = F.coalesce(F.col("more"), F.array().cast("array<string>"))
     score = F.when(F.size("at") > 0, F.lit(1.0)).otherwise(F.coalesce("coverage", F.lit(0.0)))
     return joined.select(
