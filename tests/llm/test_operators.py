@@ -251,7 +251,7 @@ def test_nearest_against_brute_force(spark):
     wide = x.astype(np.float64)
     unit = wide / np.linalg.norm(wide, axis=1, keepdims=True)
     hits = total = 0
-    assert sorted(got) == list(range(0, 900, 50))
+    assert sorted(got) == list(range(0, 900, 50))  # 1150 has no candidate of its length
     for q, found in got.items():
         sims = unit @ unit[q]
         order = [i for i in np.lexsort((np.arange(900), -np.round(sims, 9))) if i != q][:5]
@@ -270,6 +270,41 @@ def test_nearest_few_and_none(spark):
     assert nn_descent.nearest(spark.createDataFrame([], kind)).count() == 0
 
 
+def test_nearest_of_several_lengths_and_repeated_ids(spark):
+    kind = "vec_id long, embedding array<double>, node long, score string"
+    rows = [(0, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [0.3, 1.0]), (3, [1e-9, 1.0]), (3, [1e-9, 1.0])]
+    rows += [(50, [1.0, 0.0, 0.0]), (51, [1.0, 1.0, 0.0]), (50, [1e300, 0.0, 1e300]), (100, [5.0]), (7, None)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], kind)
+    got = sorted(map(tuple, nn_descent.nearest(df).collect()))
+    half = 1 / np.sqrt(2)
+    want = [(0, 1, 2, 1.0), (0, 2, 2, 0.3 / np.sqrt(1.09)), (0, 3, 3, 1e-9), (0, 4, 3, 1e-9)]
+    want += [(50, 1, 50, half), (50, 1, 50, half), (50, 2, 51, 0.5), (50, 2, 51, half)]
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], rtol=1e-12, atol=0)
+
+
+def test_copies_of_a_query_count_each(spark):
+    rows = [(50, [1.0, 2.0])] * 3 + [(i, [1.0, 2.0]) for i in range(60, 70)] + [(1, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in nn_descent.nearest(df).collect())
+    assert got == sorted((50, i + 1, v) for v, i in [(50, 0), (50, 1), (60, 2), (61, 3), (62, 4)] * 3)
+
+
+def test_nearest_where_the_search_cannot_see_the_table(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "BEAM", 32)
+    monkeypatch.setattr(nn_descent, "LOOKED", 8)
+    monkeypatch.setattr(nn_descent, "STEPS", 4)
+    x = np.random.default_rng(4).normal(size=(6000, 12))
+    assert (1 + 8 * 3) * 2 * nn_descent.DEGREE < 6000 / 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nn_descent.nearest(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = [len(got[q] & set(np.argsort(-(unit @ unit[q]))[1:6].tolist())) for q in range(0, 6000, 50)]
+    assert len(got) == 120 and sum(hits) / 600 >= 0.9
+
+
 # Line dedup
 
 
