@@ -7,8 +7,8 @@ weighted mean is scored by a logistic unit. Only documents carry labels: the
 attention learns which passages decide.
 
 Cases: a null, empty or blank text is one passage without content; repeated
-rows are scored each; extra columns are not read; without training rows of both
-classes every score is the known share of class 1 (0.5 if nothing is known).
+rows are scored each, and in training an id has one row, that with the smallest
+text hash; extra columns are not read; without training rows of both classes every score is the known share of class 1 (0.5 if nothing is known).
 """
 
 from __future__ import annotations
@@ -24,10 +24,8 @@ from salescope.llm.common import crc_remainder, run_hashes, small_batches
 PASSAGE_WORDS = 64
 HIDDEN = 16
 ATTENTION = 16
-#: The model is fitted on at most so many labelled documents of each class and,
-#: of each of these, at most so many passages, spread evenly. Scoring reads all.
-MAX_TRAIN_PER_CLASS = 800
-MAX_TRAIN_PASSAGES = 12
+#: The model is fitted on all passages of at most so many labelled documents of each class.
+MAX_TRAIN_PER_CLASS = 500
 STEPS = 150
 RATE = 0.02
 L2 = 1e-5
@@ -108,6 +106,22 @@ def attention_score(p: dict, x: np.ndarray) -> tuple[float, np.ndarray]:
     return float(out[5][0]), out[3]
 
 
+def gradients(p: dict, x: np.ndarray, offsets: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+    """Slopes of the weighted log loss by every parameter, for features scaled already."""
+    h, t, s, a, z, out = _forward(p, x, offsets, bag)
+    miss = ((out - y) * weight).astype(x.dtype)
+    dz = miss[:, None] * p["c"]
+    da = (h * dz[bag]).sum(1)
+    de = a * (da - np.add.reduceat(a * da, offsets)[bag])
+    dg = de[:, None] * p["w"]
+    dt, ds = dg * s * (1 - t * t), dg * t * s * (1 - s)
+    dh = (a[:, None] * dz[bag] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
+    return {
+        "W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds,
+        "w": (t * s).T @ de, "c": z.T @ miss, "d": miss.sum(keepdims=True),
+    }
+
+
 def fit_bags(bags: list[np.ndarray], y: np.ndarray) -> dict:
     """Adam over all bags; the gradient by hand. Deterministic for the order given."""
     x = np.concatenate(bags) if bags else np.zeros((1, N_FEATURES), np.float32)
@@ -134,18 +148,7 @@ def fit_bags(bags: list[np.ndarray], y: np.ndarray) -> dict:
     weight = (np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)).astype(np.float32)
     m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
     for step in range(1, STEPS + 1):
-        h, t, s, a, z, out = _forward(p | same, scaled, offsets, bag)
-        miss = (out - y).astype(np.float32) * weight
-        dz = miss[:, None] * p["c"]
-        da = (h * dz[bag]).sum(1)
-        de = a * (da - np.add.reduceat(a * da, offsets)[bag])
-        dg = de[:, None] * p["w"]
-        dt, ds = dg * s * (1 - t * t), dg * t * s * (1 - s)
-        dh = (a[:, None] * dz[bag] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-        grads = {
-            "W": scaled.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds,
-            "w": (t * s).T @ de, "c": z.T @ miss, "d": miss.sum(keepdims=True),
-        }
+        grads = gradients(p | same, scaled, offsets, bag, y, weight)
         for k, g in grads.items():
             g = g + L2 * p[k]
             m[k] = 0.9 * m[k] + 0.1 * g
@@ -155,7 +158,7 @@ def fit_bags(bags: list[np.ndarray], y: np.ndarray) -> dict:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality") -> dict:
-    """Fit on a bounded sample: per class the rows with the smallest hash of the id.
+    """Fit on a bounded sample: per class the ids with the smallest hash, one row of each.
 
     Labels other than 0 and 1 are left out; of several labels of a document the
     largest counts.
@@ -172,6 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
     ]
     picked = F.broadcast(parts[0].unionByName(parts[1]))  # bounded by the limits above
     rows = docs.select("doc_id", "text").join(picked, "doc_id")
+    # One text of each id; of repeated rows, a task sends one.
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("r"))
+    rows = one.select("doc_id", "r.text", "r.y")
     got = rows.mapInArrow(_train_rows, "doc_id long, y int, bag binary").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("bag", "ascending")])
     bags = [np.frombuffer(b.as_py(), np.float32).reshape(-1, N_FEATURES) for b in got["bag"]]
@@ -180,11 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
 
 def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        bags = []
-        for t in b.column("text").to_pylist():
-            x = passages(t)
-            keep = np.unique(np.linspace(0, len(x) - 1, MAX_TRAIN_PASSAGES).astype(int))
-            bags.append(x[keep].tobytes())
+        bags = [passages(t).tobytes() for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id").cast(pa.int64()), b.column("y"), pa.array(bags, pa.binary())],
             ["doc_id", "y", "bag"],

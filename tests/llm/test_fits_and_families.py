@@ -1,4 +1,4 @@
-"""The toxicity fit against plain loops, and near-dedup on large families by alignment of all pairs."""
+"""The toxicity and quality fits against plain loops, and near-dedup on large families by alignment of all pairs."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from salescope.llm import order_minhash, toxicity
+from salescope.llm import order_minhash, quality, toxicity
 from salescope.llm.alignment import similar
 from salescope.llm.common import word_hashes
 
@@ -68,6 +68,70 @@ def test_fit_follows_the_gradient_of_the_loss(monkeypatch):
     assert np.allclose(small.weights, many.weights) and small.bias == pytest.approx(many.bias)
 
 
+def attention_model(rng):
+    h, n = quality.HIDDEN, quality.N_FEATURES
+    p = {"W": rng.normal(size=(n, h)) / 8, "b": rng.normal(size=h), "c": rng.normal(size=h), "d": rng.normal(size=1)}
+    p |= {k: rng.normal(size=(h, quality.ATTENTION)) for k in "VU"} | {"w": rng.normal(size=quality.ATTENTION)}
+    return p | {"mean": rng.normal(size=n) / 8, "scale": 1 + rng.random(n)}
+
+
+def plain_score(p, x):
+    """One document, passage by passage."""
+    hidden, energies = [], []
+    for row in x:
+        h = np.tanh((row - p["mean"]) / p["scale"] @ p["W"] + p["b"])
+        hidden.append(h)
+        energies.append(float((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]))
+    weights = [np.exp(e) / sum(np.exp(f) for f in energies) for e in energies]
+    z = sum(w * h for w, h in zip(weights, hidden, strict=True))
+    return 1 / (1 + np.exp(-(z @ p["c"] + p["d"][0]))), weights
+
+
+def test_attention_follows_plain_loops():
+    rng = np.random.default_rng(5)
+    p = attention_model(rng)
+    for size in (1, 2, 9):
+        x = rng.random((size, quality.N_FEATURES))
+        score, weights = quality.attention_score(p, x)
+        want, want_weights = plain_score(p, x)
+        assert score == pytest.approx(want) and np.allclose(weights, want_weights)
+
+
+def test_quality_gradients_are_slopes_of_the_loss():
+    rng = np.random.default_rng(6)
+    p = attention_model(rng) | {"mean": 0.0, "scale": 1.0}
+    sizes, y, weight = [3, 1, 4], np.array([1.0, 0.0, 1.0]), np.array([0.2, 0.5, 0.3])
+    bags = [rng.random((n, quality.N_FEATURES)) for n in sizes]
+
+    def loss_of(p):
+        scores = [plain_score(p, x)[0] for x in bags]
+        return -sum(w * np.log(s if v else 1 - s) for s, v, w in zip(scores, y, weight, strict=True))
+
+    offsets, bag = np.array([0, 3, 4]), np.repeat(np.arange(3), sizes)
+    got = quality.gradients(p, np.concatenate(bags), offsets, bag, y, weight)
+    for name, grad in got.items():
+        for place in rng.integers(0, p[name].size, 5):
+            step = np.zeros(p[name].size)
+            step[place] = 1e-5
+            step = step.reshape(p[name].shape)
+            slope = (loss_of(p | {name: p[name] + step}) - loss_of(p | {name: p[name] - step})) / 2e-5
+            assert grad.reshape(-1)[place] == pytest.approx(slope, rel=1e-4, abs=1e-8)
+
+
+def test_quality_trains_on_all_passages_and_on_one_row_of_an_id(spark, monkeypatch):
+    long = "good words here " * 2000
+    rows = [(i, f"text {i} " * 30) for i in range(2, 40)] + [(1, long)] + [(1, "other")] * 60
+    labels = [(i, i % 2, 0) for i in range(1, 40)]
+    seen = []
+    monkeypatch.setattr(quality, "fit_bags", lambda bags, y: seen.append((bags, y)))
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    quality.fit(docs_of(spark, rows), known, F.lit(True))
+    texts = dict(rows[:38]) | {1: min((long, "other"), key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])}
+    (bags, y), ids = seen[0], sorted(texts)
+    assert [len(b) for b in bags] == [len(quality.passages(texts[i])) for i in ids]
+    assert y.tolist() == [i % 2 for i in ids] and len(quality.passages(long)) == 94
+
+
 def test_a_labelled_id_in_a_third_of_the_rows_trains_once(spark):
     rng = random.Random(3)
     vocabulary = [f"word{i}" for i in range(50)]
