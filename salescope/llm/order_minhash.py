@@ -12,13 +12,17 @@ their lengths and counts of words by bucket allow the similarity; candidates are
 aligned. M is chosen so that texts of which nearly a fifth of the words differ
 still agree in a component.
 
-Links come from stars, in turns. In every group of documents that agree in a
-component, the members are centres in the order of their ids, one in the first
-turn and CENTRES in each later one; a centre is compared with the later members
-of other parts. A group is left when its members are in one part, when all were
-centres, or when a turn after the first linked none of it. So a group of up to
-CENTRES + 2 members is compared whole, and the work of a turn grows with the
-members, not with their pairs.
+Links come from stars first, in turns over the components. In every group of
+documents that agree in a component of the turn, the smallest id is compared with
+the members of other parts. Few components make most links, so that later turns
+and the rest have little left.
+
+The rest is compared whole: all pairs that agree in a component, are of near
+length and still in different parts. Tasks compare blocks of GROUP_ROWS members at
+most by their counts of words, a pair in the first component in which it agrees,
+and only pairs that the counts allow become rows and are aligned. So no two
+documents that agree in a component and are similar end in different classes. The
+comparisons of counts in a task grow with the pairs left in a group.
 
 Cases: a text without words is like texts with the same characters only (null
 counts as empty); texts shorter than K words are one shingle; ties go to the
@@ -29,11 +33,13 @@ null class and stays; extra columns are kept by ``one_of_each``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from salescope.llm.alignment import similar
 from salescope.llm.common import mixed, small_batches, word_hashes, written
@@ -45,10 +51,15 @@ M = 80
 SIMILARITY = 0.8
 #: Components that candidates must share.
 MIN_SHARED = 1
-#: Centres of a group in each turn after the first.
-CENTRES = 4
-#: Buckets by which a document's words are counted.
-BUCKETS = 128
+#: Components at which a turn of stars ends and the next begins.
+TURNS = (0, 4, 16, M)
+#: Members of a group, or of a cut of it, that a task compares with as many others at most.
+GROUP_ROWS = 2048
+#: Near lengths are in the same or the next class; a little over 1 / SIMILARITY, for rounding.
+LENGTH_CLASS = 1.01 / SIMILARITY
+#: Buckets by which a document's words are counted, and those compared first.
+BUCKETS = 512
+FEW_BUCKETS = 64
 #: Rows of a task in the rounds on links and groups left, which are far smaller than the documents.
 TASK_ROWS = 100_000
 #: Values hashed at a time while sketching a long text.
@@ -76,7 +87,7 @@ def labelled_shingles(words: np.ndarray) -> np.ndarray:
 
 
 def sketch(words: np.ndarray) -> np.ndarray:
-    """M components as signed 64-bit numbers; ``words`` holds at least one hash."""
+    """M components as signed 32-bit numbers; ``words`` holds at least one hash."""
     shingles = labelled_shingles(words)
     picks = min(L, len(shingles))
     step = max(1, BLOCK // len(shingles))
@@ -90,7 +101,7 @@ def sketch(words: np.ndarray) -> np.ndarray:
             values[rows, picked[:, i]] = np.uint64(0xFFFFFFFFFFFFFFFF)
         for column in np.sort(picked, axis=1).T:
             out[at : at + step] = out[at : at + step] * np.uint64(0x100000001B3) + shingles[column]
-    return mixed(out).view(np.int64)
+    return mixed(out).astype(np.uint32).view(np.int32)
 
 
 def bucket_counts(words: np.ndarray) -> np.ndarray:
@@ -115,10 +126,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                 data = words.tobytes() if len(words) else b"text" + (text or "").encode("utf-8", "surrogatepass")
                 nodes.append(hashlib.blake2b(data, digest_size=16).digest())
                 sizes.append(len(words))
-                parts.append(sketch(words) if len(words) else np.zeros(M, np.int64))
+                parts.append(sketch(words) if len(words) else np.zeros(M, np.int32))
                 counts.append(bucket_counts(words).tobytes())
             ends = pa.array(np.arange(0, M * len(parts) + 1, M, dtype=np.int32))
-            flat = pa.array(np.array(parts, np.int64).reshape(-1))
+            flat = pa.array(np.array(parts, np.int32).reshape(-1))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
@@ -133,24 +144,25 @@ def sketches(docs: DataFrame) -> DataFrame:
             )
 
     rows = _with_text_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    kinds = "doc_id long, _t1 long, _t2 long, node binary, n_words long, parts array<long>, counts binary"
+    kinds = "doc_id long, _t1 long, _t2 long, node binary, n_words long, parts array<int>, counts binary"
     return rows.mapInArrow(run, kinds)
 
 
 def _members(reps: DataFrame) -> DataFrame:
-    """key, id, n_words: a row per component of a document that others agree in."""
-    keys = reps.select("id", "n_words", F.posexplode("parts").alias("j", "part"))
-    keys = keys.select(F.xxhash64("j", "part").alias("key"), "id", F.col("n_words").cast("int").alias("n_words"))
+    """key, j, id, n_words: a row per component (its number is j) of a document that others agree in."""
+    keys = reps.select("id", F.col("n_words").cast("int").alias("n_words"), F.posexplode("parts").alias("j", "part"))
+    # The number of the component and its 32 bits: no two share a key.
+    keys = keys.select((F.shiftleft(F.col("j").cast("long"), 32) + F.col("part")).alias("key"), "j", "id", "n_words")
     groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     return splittable_join(keys, groups, ["key"])
 
 
 def _open_members(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``members`` (key, id, n_words) with their components, of the groups that hold several."""
+    """``members`` (key, j, id, n_words) with their components, of the groups that hold several."""
     if labels is None:
         return members.withColumn("component", F.col("id"))
     placed = splittable_join(members, labels, ["id"], "left")
-    placed = placed.select("key", "id", "n_words", F.coalesce("component", "id").alias("component"))
+    placed = placed.select("key", "j", "id", "n_words", F.coalesce("component", "id").alias("component"))
     placed = written(placed.coalesce(1 + members.count() // TASK_ROWS), "near-placed")
     groups = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     return splittable_join(placed, groups.filter("least < most").select("key"), ["key"])
@@ -166,11 +178,17 @@ def _stars(members: DataFrame, centres: DataFrame) -> DataFrame:
     return pairs.filter("component <> own").select("key", "a", F.col("id").alias("b"))
 
 
-def _plausible(pairs: DataFrame, reps: DataFrame, tasks: int) -> DataFrame:
-    """The pairs (a, b), compared in ``tasks`` tasks at most, whose lengths and counts of words allow the similarity asked for.
+def _limits(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edits that the similarity asked for allows to texts of so many words, and the largest difference of counts.
 
     An edit changes the counts by 2 at most, and where it makes up for a difference in length by 1.
     """
+    limit = ((1 - SIMILARITY) * np.maximum(na, nb) + 1e-9).astype(np.int64)
+    return limit, 2 * limit - np.abs(na - nb)
+
+
+def _plausible(pairs: DataFrame, reps: DataFrame, tasks: int) -> DataFrame:
+    """The pairs (a, b), compared in ``tasks`` tasks at most, whose lengths and counts of words allow the similarity asked for."""
     left = reps.select(F.col("id").alias("a"), F.col("n_words").alias("na"), F.col("counts").alias("ca"))
     right = reps.select(F.col("id").alias("b"), F.col("n_words").alias("nb"), F.col("counts").alias("cb"))
     both = splittable_join(splittable_join(pairs, left, ["a"]), right, ["b"]).select("a", "b", "na", "nb", "ca", "cb")
@@ -182,14 +200,113 @@ def _plausible(pairs: DataFrame, reps: DataFrame, tasks: int) -> DataFrame:
                 np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
                 for c in ("ca", "cb")
             )
-            longer, gap = np.maximum(na, nb), np.abs(na - nb)
-            limit = ((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)
-            fine = (gap <= limit) & (np.abs(ca - cb).sum(1) <= 2 * limit - gap)
+            limit, most = _limits(na, nb)
+            fine = (np.abs(na - nb) <= limit) & (np.abs(ca - cb).sum(1) <= most)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(fine))
 
     return both.coalesce(tasks).mapInArrow(run, "a long, b long")
 
 
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """task, side, j, id, n_words, component: ``members`` of groups, dealt to tasks in which every two of near length meet once.
+
+    Sides: 0 meets all of its task, 1 meets 2. A group of more than GROUP_ROWS is cut by
+    length, and each length by the ids' hashes; every two cuts meet in a task of their own.
+    """
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    length = F.floor(F.log("n_words") / math.log(LENGTH_CLASS)).cast("int")
+    placed = splittable_join(members, sizes, ["key"])
+    placed = placed.withColumn("length", F.when(F.col("n") > GROUP_ROWS, length).otherwise(0)).drop("n")
+    cuts = placed.groupBy("key", "length").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("cuts"))
+    lengths = cuts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("length", "cuts"))).alias("cuts"))
+    placed = splittable_join(placed, lengths, ["key"])
+    mine = F.col("length")
+    placed = placed.withColumn("cut", F.pmod(F.xxhash64("id"), F.try_element_at("cuts", mine)).cast("int"))
+    cut = F.col("cut")
+
+    def task(low: Column, i: Column, k: Column, step: int, side: Column) -> Column:
+        return F.struct(F.xxhash64("key", low, i, k, F.lit(step)).alias("task"), side.alias("side"))
+
+    def meeting(step: int, of: Callable[[Column], Column]) -> Column:
+        """A task for each cut of the length class ``step`` further."""
+        many = F.coalesce(F.try_element_at("cuts", mine + step), F.lit(0))
+        return F.transform(F.filter(F.sequence(F.lit(0), many), lambda x: x < many), of)
+
+    dealt = F.concat(
+        meeting(0, lambda x: task(mine, F.least(cut, x), F.greatest(cut, x), 0, F.when(x == cut, 0).when(cut < x, 1).otherwise(2))),
+        meeting(1, lambda x: task(mine, cut, x, 1, F.lit(1))),
+        meeting(-1, lambda x: task(mine - 1, x, cut, 1, F.lit(2))),
+    )
+    return placed.withColumn("t", F.explode(dealt)).select("t.*", "j", "id", "n_words", "component")
+
+
+def _compared(
+    side: np.ndarray, j: int, n: np.ndarray, component: np.ndarray, parts: np.ndarray, counts: np.ndarray
+) -> tuple[list[int], list[int]]:
+    """The pairs of rows of a task, sorted by n, that agree first in component j and pass the filter by counts."""
+    few = counts.reshape(len(n), -1, FEW_BUCKETS).sum(1, dtype=np.int32)
+    ends = np.searchsorted(n, n / SIMILARITY + 1, "right")
+    left, right = [], []
+    for i in range(len(n) - 1):
+        at = np.arange(i + 1, ends[i])
+        at = at[(component[at] != component[i]) & ((side[at] != side[i]) | (side[at] == 0))]
+        limit, most = _limits(n[at], n[i])
+        fine = n[at] - n[i] <= limit
+        at, most = at[fine], most[fine]
+        for some in np.array_split(np.arange(len(at)), 1 + len(at) // 4096):
+            rows, bound = at[some], most[some]
+            fine = ~(parts[rows, :j] == parts[i, :j]).any(1)
+            rows, bound = rows[fine], bound[fine]
+            fine = np.abs(few[rows] - few[i]).sum(1) <= bound
+            rows, bound = rows[fine], bound[fine]
+            rows = rows[np.abs(counts[rows].astype(np.int16) - counts[i]).sum(1) <= bound]
+            left += [i] * len(rows)
+            right += rows.tolist()
+    return left, right
+
+
+def _rest(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """All pairs (a, b) of members of one group that are in different components and pass the filter by counts."""
+    dealt = splittable_join(_in_blocks(members), reps.select("id", "parts", "counts"), ["id"])
+    dealt = dealt.repartition("task").sortWithinPartitions("task", "n_words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            task, side, j, ids, n, component = (
+                rows[c].to_numpy() for c in ("task", "side", "j", "id", "n_words", "component")
+            )
+            parts = rows["parts"].combine_chunks().flatten().to_numpy().reshape(-1, M)
+            counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint8).reshape(-1, BUCKETS)
+            starts = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True])))
+            a, b = [], []
+            for s, e in pairwise(starts):
+                found = _compared(side[s:e], int(j[s]), n[s:e], component[s:e], parts[s:e], counts[s:e])
+                for out, at in zip((a, b), found, strict=True):
+                    out.append(ids[s:e][at])
+            a, b = np.concatenate(a), np.concatenate(b)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # Rows of the last task may go on in the next batch.
+            task = batch.column("task").to_numpy()
+            if held and held[-1].column("task")[-1].as_py() != task[0]:
+                yield pairs(held)
+                held = []
+            last = int(np.searchsorted(task, task[-1]))
+            if last:
+                yield pairs([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield pairs(held)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose alignment reaches SIMILARITY. Only texts in pairs are fetched."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -284,37 +401,22 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     reps = written(reps, "near-reps")
     worded = reps.filter("n_words > 0")
-    members, labels, tried, turn = written(_members(worded), "near-members"), None, None, 0
-    while True:
-        members = _open_members(members, labels)
-        members = members if labels is None else written(members, "near-open")
-        if turn == 0:
-            first = members.groupBy("key").agg(F.min(F.struct("id", "n_words", "component")).alias("c"))
-            centres = first.select("key", "c.*")
+    members, labels, tried = written(_members(worded), "near-members"), None, None
+    for first, end in pairwise([*TURNS, None]):
+        of_turn = members if end is None else members.filter((F.col("j") >= first) & (F.col("j") < end))
+        of_turn = written(_open_members(of_turn, labels), "near-open")
+        if end is None:
+            pairs = _rest(of_turn, worded)
         else:
-            place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-            centres = members.withColumn("place", place).filter(F.col("place") <= CENTRES).drop("place")
-        centres = written(centres, "near-centres")
-        stars = written(_stars(members, centres), "near-stars")
-        pairs = stars.select("a", "b").distinct()
-        if tried is not None:
-            pairs = splittable_join(pairs, tried, ["a", "b"], "left_anti")
-        pairs = written(_plausible(pairs, worded, 1 + stars.count() // TASK_ROWS), "near-pairs")
+            centres = of_turn.groupBy("key").agg(F.min(F.struct("id", "n_words", "component")).alias("c"))
+            stars = written(_stars(of_turn, centres.select("key", "c.*")), "near-stars")
+            pairs = _plausible(stars.select("a", "b").distinct(), worded, 1 + stars.count() // TASK_ROWS)
+        pairs = written(pairs, "near-pairs")
+        fresh = pairs if tried is None else splittable_join(pairs, tried, ["a", "b"], "left_anti")
+        links = _verified(fresh, docs, reps)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = _verified(pairs, docs, reps)
-        turn += 1
-        if not links.isEmpty():
+        if labels is None or not links.isEmpty():
             labels = _merged(labels, links)
-        elif labels is None:
-            labels = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        used = centres.groupBy("key").agg(F.max("id").alias("last"))
-        if turn > 1:
-            live = splittable_join(stars, links, ["a", "b"]).select("key").distinct()
-            used = used.join(live, "key", "left_semi")
-        members = splittable_join(members, used, ["key"]).filter("id > last").select("key", "id", "n_words")
-        members = written(members, "near-members")
-        if members.isEmpty():
-            break
     return rows, splittable_join(reps, labels, ["id"], "left").drop("n_words", "parts", "counts")
 
 

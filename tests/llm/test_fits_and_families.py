@@ -197,6 +197,37 @@ def test_recall_by_share_of_words_edited(spark, words):
         assert sum(of[a] == of[b] for a, b in some) >= (0.99 if share < 0.15 else 0.9) * len(some), share
 
 
+def agreeing_and_similar(texts):
+    """The least text of each class by plain loops: two are linked if a component agrees and the alignment is near."""
+    hashes = [word_hashes(t) for t in texts]
+    sketches = np.array([order_minhash.sketch(h) for h in hashes])
+    of = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if of[a] != of[b] and (sketches[a] == sketches[b]).any():
+            if similar(hashes[a].astype("<u4"), hashes[b].astype("<u4"), 0.8):
+                low, high = sorted((of[a], of[b]))
+                of = [low if x == high else x for x in of]
+    return of
+
+
+@pytest.mark.parametrize("block", [2048, 16, 3])
+def test_a_group_of_unlike_texts_is_searched_whole(spark, block, monkeypatch):
+    """Pairs that agree only in a passage that 260 unlike texts of many lengths share."""
+    monkeypatch.setattr(order_minhash, "GROUP_ROWS", block)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    passage, texts = [word() for _ in range(60)], []
+    for _ in range(200):
+        texts.append([*(word() for _ in range(rng.randint(25, 90))), *passage])
+    for _ in range(30):
+        own = [word() for _ in range(rng.randint(30, 50))]
+        texts += [[*own, *passage], [*(w if i % 3 else word() for i, w in enumerate(own)), *passage]]
+    texts = [" ".join(t) for t in texts]
+    want = agreeing_and_similar(texts)
+    assert len(set(want)) == 230
+    assert dict(rows_of(order_minhash.near_duplicates(docs_of(spark, list(enumerate(texts)))))) == dict(enumerate(want))
+
+
 def test_word_counts_reject_no_pair_that_is_alike():
     rng = random.Random(3)
     for _ in range(300):
