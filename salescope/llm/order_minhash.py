@@ -60,6 +60,9 @@ LENGTH_CLASS = 1.01 / SIMILARITY
 #: Buckets by which a document's words are counted, and those compared first.
 BUCKETS = 512
 FEW_BUCKETS = 64
+#: The least value of a component, and what is no key of a group.
+LEAST_PART = -(1 << 31)
+NO_KEY = np.int64(1 << 62)
 #: Rows of a task in the rounds on links and groups left, which are far smaller than the documents.
 TASK_ROWS = 100_000
 #: Values hashed at a time while sketching a long text.
@@ -152,7 +155,8 @@ def _members(reps: DataFrame) -> DataFrame:
     """key, j, id, n_words: a row per component (its number is j) of a document that others agree in."""
     keys = reps.select("id", F.col("n_words").cast("int").alias("n_words"), F.posexplode("parts").alias("j", "part"))
     # The number of the component and its 32 bits: no two share a key.
-    keys = keys.select((F.shiftleft(F.col("j").cast("long"), 32) + F.col("part")).alias("key"), "j", "id", "n_words")
+    key = F.shiftleft(F.col("j").cast("long"), 32) + F.col("part")
+    keys = keys.select(key.alias("key"), "j", "id", "n_words")
     groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     return splittable_join(keys, groups, ["key"])
 
@@ -241,13 +245,15 @@ def _in_blocks(members: DataFrame) -> DataFrame:
 
 
 def _compared(
-    side: np.ndarray, j: int, n: np.ndarray, component: np.ndarray, parts: np.ndarray, counts: np.ndarray
+    side: np.ndarray, j: int, n: np.ndarray, component: np.ndarray, keys: np.ndarray, counts: np.ndarray
 ) -> tuple[list[int], list[int]]:
     """The pairs of rows of a task, sorted by n, that agree first in component j and pass the filter by counts."""
+    keys = keys[:, :j]
     few = counts.reshape(len(n), -1, FEW_BUCKETS).sum(1, dtype=np.int32)
     ends = np.searchsorted(n, n / SIMILARITY + 1, "right")
     left, right = [], []
     for i in range(len(n) - 1):
+        before = np.flatnonzero(keys[i] != NO_KEY)
         at = np.arange(i + 1, ends[i])
         at = at[(component[at] != component[i]) & ((side[at] != side[i]) | (side[at] == 0))]
         limit, most = _limits(n[at], n[i])
@@ -255,7 +261,7 @@ def _compared(
         at, most = at[fine], most[fine]
         for some in np.array_split(np.arange(len(at)), 1 + len(at) // 4096):
             rows, bound = at[some], most[some]
-            fine = ~(parts[rows, :j] == parts[i, :j]).any(1)
+            fine = ~(keys[rows[:, None], before] == keys[i, before]).any(1)
             rows, bound = rows[fine], bound[fine]
             fine = np.abs(few[rows] - few[i]).sum(1) <= bound
             rows, bound = rows[fine], bound[fine]
@@ -267,7 +273,9 @@ def _compared(
 
 def _rest(members: DataFrame, reps: DataFrame) -> DataFrame:
     """All pairs (a, b) of members of one group that are in different components and pass the filter by counts."""
-    dealt = splittable_join(_in_blocks(members), reps.select("id", "parts", "counts"), ["id"])
+    profiles = members.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    profiles = splittable_join(reps.select("id", "counts"), profiles, ["id"])
+    dealt = splittable_join(_in_blocks(members), profiles, ["id"])
     dealt = dealt.repartition("task").sortWithinPartitions("task", "n_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,12 +284,15 @@ def _rest(members: DataFrame, reps: DataFrame) -> DataFrame:
             task, side, j, ids, n, component = (
                 rows[c].to_numpy() for c in ("task", "side", "j", "id", "n_words", "component")
             )
-            parts = rows["parts"].combine_chunks().flatten().to_numpy().reshape(-1, M)
+            held_keys = rows["keys"].combine_chunks()
+            values = held_keys.flatten().to_numpy()
+            keys = np.full((len(ids), M), NO_KEY)
+            keys[np.repeat(np.arange(len(ids)), held_keys.value_lengths().to_numpy()), (values - LEAST_PART) >> 32] = values
             counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint8).reshape(-1, BUCKETS)
             starts = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True])))
             a, b = [], []
             for s, e in pairwise(starts):
-                found = _compared(side[s:e], int(j[s]), n[s:e], component[s:e], parts[s:e], counts[s:e])
+                found = _compared(side[s:e], int(j[s]), n[s:e], component[s:e], keys[s:e], counts[s:e])
                 for out, at in zip((a, b), found, strict=True):
                     out.append(ids[s:e][at])
             a, b = np.concatenate(a), np.concatenate(b)
@@ -309,7 +320,8 @@ def _rest(members: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose alignment reaches SIMILARITY. Only texts in pairs are fetched."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    involved = pairs.select(F.col("a").alias("id")).distinct()
+    involved = involved.unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     wanted = splittable_join(involved, reps.select("id", "rep", "_t1", "_t2"), ["id"])
     wanted = wanted.withColumnRenamed("rep", "doc_id")
     texts = _with_text_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
